@@ -6,7 +6,10 @@ check start from the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # view -> (source table, columns, filter)
 VIEWS = {
@@ -74,3 +77,39 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def view_sql(name: str) -> str:
     table, columns, condition = VIEWS[name]
     return f"SELECT {columns} FROM {table} WHERE {condition}"
+
+
+def _items(columns: list[str]) -> str:
+    return ",".join(f'{{"OID":"IT.{c}","name":"{c}"}}' for c in columns)
+
+
+def study_documents(
+    spark: SparkSession, folder: str, domains: list[str], block_rows: int = 100, records: dict[str, str] | None = None
+) -> DataFrame:
+    """Dataset-JSON documents (doc_id, doc) made of the views: one per block of row numbers.
+
+    Blocks have a fixed number of row numbers, so documents stay small at any scale.
+    ``records`` may give other SQL for a domain's records, to plant faults.
+    """
+    groups = []
+    for domain in domains:
+        rows = view(spark, folder, f"sdtm_{domain.lower()}")
+        columns = [c for c in rows.columns if c != "row_index"]
+        record = (records or {}).get(domain, f"to_json(array({', '.join(columns)}))")
+        groups.append(
+            rows.selectExpr(f"row_index div {block_rows} AS doc_id", "row_index", f"{record} AS record")
+            .groupBy("doc_id")
+            .agg(F.expr("array_sort(collect_list(named_struct('i', row_index, 'r', record)))").alias("records"))
+            .selectExpr(
+                "doc_id", f"{domains.index(domain)} AS place",
+                f"concat('\"IG.{domain}\":{{\"name\":\"{domain}\",\"items\":[{_items(columns)}],\"itemData\":[',"
+                " array_join(transform(records, x -> x.r), ','), ']}') AS body",
+            )
+        )
+    bodies = reduce(DataFrame.unionByName, groups).groupBy("doc_id").agg(
+        F.expr("array_sort(collect_list(named_struct('place', place, 'body', body)))").alias("bodies")
+    )
+    head = '{"creationDateTime":"2024-01-01T00:00:00","datasetJSONVersion":"1.1","clinicalData":{"itemGroupData":{'
+    return bodies.selectExpr(
+        "doc_id", f"concat('{head}', array_join(transform(bodies, b -> b.body), ','), '}}}}}}') AS doc"
+    )

@@ -23,17 +23,17 @@ def is_class(x: str, name: str) -> str:
 
 def class_of_variant(v: str) -> str:
     """Kind of a value, in the notation findings use as evidence."""
-    kind = f"schema_of_variant({v})"
-    return (
-        f"CASE WHEN {v} IS NULL OR {kind} = 'VOID' THEN {_class('NoneType')}"
-        f" WHEN {kind} LIKE 'OBJECT%' THEN {_class('dict')}"
-        f" WHEN {kind} LIKE 'ARRAY%' THEN {_class('list')}"
-        f" WHEN {kind} = 'STRING' THEN {_class('str')}"
-        f" WHEN {kind} = 'BOOLEAN' THEN {_class('bool')}"
-        # Integers beyond 64 bits come as decimals without a fraction.
-        f" WHEN {kind} = 'BIGINT' OR {kind} RLIKE '^DECIMAL\\\\((19|[23][0-9]),0' THEN {_class('int')}"
-        f" ELSE {_class('float')} END"
+    # 'OBJECT<a: BIGINT>' -> 'OBJECT'; integers beyond 64 bits come as decimals without a fraction.
+    kind = (
+        f"regexp_replace(regexp_replace(schema_of_variant({v}), '^DECIMAL[(](19|[23][0-9]),0[)]', 'BIGINT'),"
+        " '[<(].*', '')"
     )
+    classes = {
+        "OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "BIGINT": "int",
+        "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float",
+    }
+    known = ", ".join(f"'{k}', {_class(c)}" for k, c in classes.items())
+    return f"coalesce(try_element_at(map({known}), {kind}), {_class('NoneType')})"
 
 
 def class_of_field(parent: str, field: str) -> str:

@@ -27,12 +27,18 @@ HEAVY_KEYS = 256
 ROW_OVERHEAD_BYTES = 64
 
 
-def measured_bytes(table: DataFrame) -> int:
-    """Upper estimate of the in-memory size of a materialized table, from its real rows."""
+def row_bytes(table: DataFrame) -> str:
+    """SQL for an upper estimate of the in-memory size of a row, from its real values."""
     variable = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
     fixed = ROW_OVERHEAD_BYTES + 16 * len(table.columns)
-    row = " + ".join([f"{fixed}L", *[f"coalesce(octet_length(`{c}`), 0)" for c in variable]])
-    return table.selectExpr(f"coalesce(sum({row}), 0) AS bytes").first()["bytes"]
+    return " + ".join([f"{fixed}L", *[f"coalesce(octet_length(`{c}`), 0)" for c in variable]])
+
+
+def total_bytes(table: DataFrame, conditions: Sequence[str] = ("TRUE",)) -> list[int]:
+    """Size of the rows under each condition; one pass over a materialized table."""
+    size = row_bytes(table)
+    sums = [f"coalesce(sum({size}) FILTER (WHERE {c}), 0) AS b{i}" for i, c in enumerate(conditions)]
+    return list(table.selectExpr(*sums).first())
 
 
 def rows_of_keys(
@@ -40,22 +46,24 @@ def rows_of_keys(
     keyed: DataFrame,
     on: Sequence[str],
     weight: str,
-    spread_by: str = "row_index",
+    keyed_bytes: int | None = None,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which has at most one row per key.
 
-    ``keyed`` must be materialized, and ``weight`` is its column with the number of
-    rows each key has. ``spread_by`` is a column of ``rows`` that differs within a key.
+    ``keyed`` must read from a materialized table; ``weight`` is its column with the
+    number of rows each key has. ``keyed_bytes`` is its size if already measured. Rows
+    need a ``row_index`` that differs within a key.
     """
     on = list(on)
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if measured_bytes(keyed) <= limit:
+    size = total_bytes(keyed)[0] if keyed_bytes is None else keyed_bytes
+    if size <= limit:
         return rows.join(F.broadcast(keyed), on)
-    return salted_join(rows, keyed, on, weight, spread_by)
+    return salted_join(rows, keyed, on, weight)
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, spread_by: str) -> DataFrame:
+def salted_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
     """Shuffle join with the heaviest keys split into one slice per shuffle partition.
 
     Exact: the single key row of a heavy key is copied to every slice. At most
@@ -79,7 +87,7 @@ def salted_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: st
         .join(heavy, on, "left")
         .withColumn(
             "_slice",
-            F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int")).otherwise(F.lit(0)),
+            F.when(F.col("_heavy"), F.pmod(F.xxhash64("row_index"), F.lit(slices)).cast("int")).otherwise(F.lit(0)),
         )
     )
     joined = spread.drop("_heavy").join(copies.drop("_heavy"), [*on, "_slice"])

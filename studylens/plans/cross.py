@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, joined, text
 from ..operators.findings import Hit, dataset_finding, emit, merge
-from ..operators.keyed import rows_of_keys
+from ..operators.keyed import rows_of_keys, total_bytes
 from ..operators.materialize import materialize
 from ..operators.rowid import ROW_INDEX, with_row_index
 from ..rules import texts as X
@@ -114,14 +114,17 @@ def cross_findings(
     rows = {d: _subject_rows(tables[d], d, on) for d in used}
     profile = materialize(subject_profile(rows, on), "subjects")
     carry = [c for c in on if c != "USUBJID"]
+    own_rules = {d: [r for r in rules if r.of == d] for d in used}
+    own_rules = {d: own for d, own in own_rules.items() if own}
+    suspect = {
+        d: f"n_{d} > 0 AND ({' OR '.join(f'({r.subject})' for r in own)})" for d, own in own_rules.items()
+    }
+    sizes = dict(zip(suspect, total_bytes(profile, list(suspect.values()))))
     parts = []
-    for domain in used:
-        own = [r for r in rules if r.of == domain]
-        if not own:
-            continue
-        breaks_any = " OR ".join(f"({r.subject})" for r in own)
-        suspects = profile.filter(f"n_{domain} > 0 AND ({breaks_any})")
-        matched = rows_of_keys(rows[domain], suspects, on, weight=f"n_{domain}", broadcast_bytes=broadcast_bytes)
+    for domain, own in own_rules.items():
+        matched = rows_of_keys(
+            rows[domain], profile.filter(suspect[domain]), on, f"n_{domain}", sizes[domain], broadcast_bytes
+        )
         parts.append(emit(matched, [_hit(r, r.row) for r in own], carry))
         orphans = [r for r in own if r.orphan]
         if orphans:

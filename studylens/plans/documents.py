@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from ..operators.materialize import materialize
 from ..operators.rowid import ROW_INDEX
 from ..rules import texts as X
 from ..rules.domains import catalog
-from ..sources.dataset_json import DatasetJson, as_table, cell, column_names, findings_of
+from ..sources.dataset_json import DatasetJson, cell, column_names, findings_of
 from .cross import cross_findings, dm_link_rule
 from .domains import duplicate_subjects
 
@@ -22,11 +22,30 @@ KEYS = ("doc_id", "USUBJID")
 _FIRST = f"{ROW_INDEX} = 0"
 
 
+class Datasets(Mapping[str, DataFrame]):
+    """Per domain a table (doc_id, row_index, src_index, items); built when asked for."""
+
+    def __init__(self, dj: DatasetJson, staged: DataFrame, domains: Sequence[str]):
+        self._dj, self._staged, self._domains = dj, staged, domains
+
+    def __getitem__(self, domain: str) -> DataFrame:
+        if domain not in self._domains:
+            raise KeyError(domain)
+        first_rows = self._staged.filter(f"domain = {quoted(domain)} AND {_FIRST}")
+        return self._dj.domain_table(domain, column_names(first_rows))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._domains)
+
+    def __len__(self) -> int:
+        return len(self._domains)
+
+
 @dataclass(frozen=True)
 class DocumentResult:
-    """``datasets``: per domain a table (doc_id, row_index, src_index, items); ``findings``: doc_id + nine columns."""
+    """``findings`` has doc_id and the nine columns."""
 
-    datasets: dict[str, DataFrame]
+    datasets: Datasets
     findings: DataFrame
 
 
@@ -136,8 +155,6 @@ def validate_documents(
             for d in others:
                 tables[d] = usable.filter(f"domain = '{d}' AND anchor_rows AND anchor_has_id")
             parts.append(cross_findings(tables, [dm_link_rule(d) for d in others], on=KEYS))
-    names = {d: column_names(staged.filter(f"domain = '{d}' AND {_FIRST}")) for d in domains}
-    datasets = {d: as_table(dj.records([d]), names[d]) for d in domains}
-    return DocumentResult(datasets, merge(documents.sparkSession, parts))
+    return DocumentResult(Datasets(dj, staged, domains), merge(documents.sparkSession, parts))
 
 

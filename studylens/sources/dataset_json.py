@@ -124,7 +124,7 @@ class DatasetJson:
 
     def validate_top_level(self) -> DataFrame:
         """DJ_000 to DJ_004."""
-        return self.parsed().filter("size(doc_notes) > 0").selectExpr("doc_id", "inline(doc_notes)")
+        return self.parsed().selectExpr("doc_id", "inline(doc_notes)")
 
     def itemgroups(self) -> DataFrame:
         """Per document the OIDs in document order."""
@@ -327,7 +327,7 @@ class DatasetJson:
 
 def findings_of(records: DataFrame) -> DataFrame:
     """The findings that extraction left on the records."""
-    return records.filter("size(notes) > 0").selectExpr("doc_id", "inline(notes)")
+    return records.selectExpr("doc_id", "inline(notes)")
 
 
 def cell(column: str) -> str:

@@ -70,7 +70,12 @@ def entry(pairs: str, key: str) -> str:
 
 
 def field(map_: str, key: str) -> str:
-    return entry(f"map_entries({map_})", quoted(key))
+    """The same for a map, by plain access as long as no key repeats."""
+    return (
+        f"CASE WHEN size(array_distinct(map_keys({map_}))) = size({map_})"
+        f" THEN try_element_at({map_}, {quoted(key)})"
+        f" ELSE {entry(f'map_entries({map_})', quoted(key))} END"
+    )
 
 
 def unique_entries(pairs: str) -> str:

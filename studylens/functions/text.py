@@ -51,9 +51,13 @@ def iso_date(x: str) -> str:
     return f"CASE WHEN {x} RLIKE {quoted(ISO_DATE)} THEN try_cast({x} AS DATE) END"
 
 
+def is_decimal(x: str) -> str:
+    """A plain decimal literal; a cast alone would also take '1d', '0x1p3' or ' 5 '."""
+    return f"({x} RLIKE {quoted(DECIMAL)})"
+
+
 def decimal_number(x: str) -> str:
-    """Double for a plain decimal literal, else null ('1d', '0x1p3', ' 5 ' are not numbers)."""
-    return f"CASE WHEN {x} RLIKE {quoted(DECIMAL)} THEN try_cast({x} AS DOUBLE) END"
+    return f"CASE WHEN {is_decimal(x)} THEN try_cast({x} AS DOUBLE) END"
 
 
 def whole_number(x: str) -> str:

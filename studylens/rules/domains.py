@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from ..functions.text import (
     decimal_comma,
     decimal_number,
+    is_decimal,
     iso_date,
     joined,
     looks_like_iso_date,
@@ -56,7 +57,7 @@ _KNOWN_TEST = f"{_TEST} IN ({', '.join(map(quoted, X.VSTESTCD_TERMS))})"
 _WRONG_UNIT = " OR ".join(
     f"({_TEST} = {quoted(test)} AND {outside(text('VSORRESU'), units)})" for test, units in X.UNITS_OF_TEST.items()
 )
-_NOT_NUMERIC = f"{_KNOWN_TEST} AND VSORRES IS NOT NULL AND ({decimal_number(decimal_comma(text('VSORRES')))}) IS NULL"
+_NOT_NUMERIC = f"{_KNOWN_TEST} AND VSORRES IS NOT NULL AND NOT {is_decimal(decimal_comma(text('VSORRES')))}"
 _AGE = f"({decimal_number(text('AGE'))})"
 _AGE_OUT_OF_RANGE = f"{_AGE} < 0 OR {_AGE} > 120"
 _AGE_WITHOUT_UNIT = f"{_AGE} IS NOT NULL AND (AGEU IS NULL OR {outside(text('AGEU'), X.AGEU_TERMS)})"

@@ -27,7 +27,7 @@ from ..functions.json import (
     unique_entries,
 )
 from ..functions.text import quoted
-from ..operators.findings import Hit, found
+from ..operators.findings import Hit, found, unpack
 from ..rules import texts as X
 
 MAX_COLUMNS = 10_000
@@ -124,7 +124,7 @@ class DatasetJson:
 
     def validate_top_level(self) -> DataFrame:
         """DJ_000 to DJ_004."""
-        return self.parsed().selectExpr("doc_id", "inline(doc_notes)")
+        return unpack(self.parsed(), "doc_notes", ["doc_id"])
 
     def itemgroups(self) -> DataFrame:
         """Per document the OIDs in document order."""
@@ -158,7 +158,11 @@ class DatasetJson:
         if anchor is None:
             return self.parsed().selectExpr("*", "FALSE AS anchor_rows", "FALSE AS anchor_has_id")
         is_list = is_class(f"({class_of_variant('v')})", "list")
-        some_item = f"exists(from_json(anchor_items, '{LIST}'), x -> from_json(x, '{STRINGS}') IS NOT NULL)"
+        # All items at once, or one by one where some are not objects.
+        items = (
+            f"CASE WHEN {_is_list('anchor_items')} THEN coalesce(from_json(anchor_items, '{_ITEMS}'),"
+            f" transform(from_json(anchor_items, '{LIST}'), x -> from_json(x, '{_ITEM}'))) END"
+        )
         some_record = (
             f"coalesce(exists(from_json(anchor_data, 'ARRAY<{LIST}>'), x -> x IS NOT NULL),"
             f" exists(from_json(anchor_data, 'ARRAY<VARIANT>'), v -> {is_list}))"
@@ -172,26 +176,40 @@ class DatasetJson:
             )
             .selectExpr(
                 "doc_id", "groups_text", "pairs", "doc_notes",
-                f"coalesce({some_item} AND {some_record}, FALSE) AS anchor_rows",
-                f"coalesce(exists(from_json(anchor_items, '{LIST}'), x -> {_item_name('x')} = 'USUBJID'), FALSE)"
-                " AS anchor_has_id",
+                f"{items} AS anchor_columns", f"coalesce({some_record}, FALSE) AS anchor_records",
+            )
+            .selectExpr(
+                "doc_id", "groups_text", "pairs", "doc_notes",
+                "coalesce(anchor_records AND exists(anchor_columns, x -> x IS NOT NULL), FALSE) AS anchor_rows",
+                f"coalesce(exists(anchor_columns, x -> {_item_name('x', '0')} = 'USUBJID'), FALSE) AS anchor_has_id",
             )
         )
 
-    def _records(self, targets: Sequence[str], strict: bool, anchor: str | None = None) -> DataFrame:
-        """One row per record of the targeted groups, and one for a group without records.
-
-        ``row_index`` counts the usable records (null for a skipped one), ``src_index`` all of
-        them. ``notes`` holds the findings; those about the document or the group sit on the
-        first row, so a single pass over the documents yields data and findings alike.
-        """
-        ds = entry("pairs", "oid")
+    def _groups(self, targets: Sequence[str], strict: bool, anchor: str | None = None) -> DataFrame:
+        """One row per document and targeted group: its column names, its data as text, its findings."""
         groups_raw = f"map_entries(from_json(groups_text, '{STRINGS}'))"
-        ds_text = f"({entry(groups_raw, 'oid')})"
-        items_list = f"from_json(items_text, '{LIST}')"
-        items_class = f"CASE WHEN ds IS NOT NULL AND raw_items IS NULL THEN {class_of_field(ds_text, 'items')} END"
+        ds_text = f"({entry(groups_raw, 't.oid')})"
+        same = "'domain', t.domain, 'infer', t.infer, 'oid', t.oid"
+
+        def odd_class(text_: str, name: str) -> str:
+            return f"CASE WHEN t.found AND NOT {_is_list(text_)} THEN {class_of_field(ds_text, name)} END"
+
+        # The groups are cut out before the explode, so a row carries its own group and not the document.
+        cut_out = f"transform(array({', '.join(targets)}), t -> named_struct({same}, 'ds', {entry('pairs', 't.oid')}))"
+        as_texts = (
+            f"transform(groups, t -> named_struct({same}, 'found', t.ds IS NOT NULL,"
+            f" 'items_text', {field('t.ds', 'items')}, 'data_text', {field('t.ds', 'itemData')}))"
+        )
+        with_classes = (
+            f"transform(groups, t -> named_struct({same}, 'found', t.found, 'items_text', t.items_text,"
+            f" 'data_text', t.data_text, 'items_class', {odd_class('t.items_text', 'items')},"
+            f" 'data_class', {odd_class('t.data_text', 'itemData')}))"
+        )
+        # Fast path: every item is an object. Otherwise each one is looked at alone.
+        items = f"CASE WHEN {_is_list('items_text')} THEN from_json(items_text, '{_ITEMS}') END"
+        raw_items = f"CASE WHEN {_is_list('items_text')} AND NOT items_ok THEN from_json(items_text, '{LIST}') END"
         item_classes = (
-            f"CASE WHEN raw_items IS NOT NULL AND items_ok THEN transform(raw_items, x -> {quoted(_DICT)})"
+            f"CASE WHEN items_ok THEN array()"
             f" WHEN raw_items IS NOT NULL"
             f" THEN transform(from_json(items_text, 'ARRAY<VARIANT>'), v -> {class_of_variant('v')})"
             # Walking an object yields its keys, walking a text its characters.
@@ -200,15 +218,12 @@ class DatasetJson:
             f" WHEN {is_class('items_class', 'str')} THEN array_repeat({quoted(_STR)}, length(items_text))"
             f" ELSE array() END"
         )
-        items_ok = (
-            "raw_items IS NOT NULL AND coalesce(NOT exists("
-            "from_json(items_text, 'ARRAY<STRUCT<name: STRING>>'), s -> s IS NULL), FALSE)"
-        )
-        named = f"transform(raw_items, (x, i) -> coalesce({_item_name('x')}, concat('COL_', i)))"
+        each = f"transform(raw_items, x -> from_json(x, '{_ITEM}'))"
         names = (
-            f"CASE WHEN raw_items IS NULL THEN array() WHEN items_ok THEN {named}"
-            f" ELSE transform(filter(zip_with({named}, item_classes, (n, c) -> named_struct('n', n, 'c', c)),"
-            f" z -> {is_class('z.c', 'dict')}), z -> z.n) END"
+            f"CASE WHEN items_ok THEN transform(items, (x, i) -> {_item_name('x', 'i')})"
+            " WHEN raw_items IS NULL THEN array()"
+            f" ELSE transform(filter(transform({each}, (x, i) -> named_struct('n', {_item_name('x', 'i')},"
+            f" 'c', item_classes[i])), z -> {is_class('z.c', 'dict')}), z -> z.n) END"
         )
         # A repeated column name gets its number appended; later names keep their place.
         distinct_names = (
@@ -216,51 +231,72 @@ class DatasetJson:
             " CASE WHEN i > 0 AND array_contains(slice(names, 1, i), x)"
             " THEN concat(x, '_', 1 + size(filter(slice(names, 1, i), y -> y = x))) ELSE x END) END"
         )
-        no_items, no_data = "coalesce(size(raw_items), 0) = 0", "records IS NULL"
-        data_class = f"CASE WHEN ds IS NOT NULL AND {no_data} THEN {class_of_field(ds_text, 'itemData')} END"
-        # Fast path: every record is an array. Otherwise kinds are told per record.
-        records = (
-            f"coalesce(transform(from_json(data_text, 'ARRAY<{LIST}>'), (x, i) -> {_record('i', 'x', _when_list('x'))}),"
-            f" transform(zip_with(from_json(data_text, '{LIST}'), from_json(data_text, 'ARRAY<VARIANT>'),"
-            f" (t, v) -> named_struct('t', t, 'kind', {class_of_variant('v')})),"
-            f" (z, i) -> {_record('i', _cells('z'), 'z.kind')}))"
-        )
-        usable = is_class("r.kind", "list")
-        stopped = f"({no_items} OR {no_data})" if strict else "FALSE"
-        rows = (
-            f"CASE WHEN size(item_names) > 0 AND NOT {stopped} THEN concat("
-            f"transform(filter(records, r -> {usable}), (r, j) -> {_row('j')}),"
-            f" transform(filter(records, r -> NOT {usable}), r -> {_row('CAST(NULL AS INT)')})) END"
-        )
+        carried = ["doc_id", "anchor_rows", "anchor_has_id", "doc_notes", "all_oids"]
         return (
             self._anchored(anchor)
-            .selectExpr("*", f"posexplode(array({', '.join(targets)})) AS (nth, target)")
             .selectExpr(
-                "*", "target.domain", "target.infer", "target.oid",
-                "array_join(transform(pairs, p -> p.key), ';') AS all_oids", f"{entry('pairs', 'target.oid')} AS ds",
+                "doc_id", "anchor_rows", "anchor_has_id", "doc_notes",
+                "array_join(transform(pairs, p -> p.key), ';') AS all_oids", "groups_text", f"{cut_out} AS groups",
             )
-            .selectExpr("*", f"{field('ds', 'items')} AS items_text", f"{field('ds', 'itemData')} AS data_text")
-            .selectExpr("*", f"{items_list} AS raw_items")
-            .selectExpr("*", f"{items_ok} AS items_ok", f"{items_class} AS items_class")
+            .selectExpr(*carried, "groups_text", f"{as_texts} AS groups")
+            .selectExpr(*carried, f"posexplode({with_classes}) AS (nth, t)")
+            .selectExpr(*carried[:3], "CASE WHEN nth = 0 THEN doc_notes ELSE array() END AS doc_notes", "all_oids", "t.*")
+            .selectExpr("*", f"{items} AS items", f"NOT {_is_list('data_text')} AS no_data")
+            .selectExpr("*", "coalesce(NOT exists(items, x -> x IS NULL), FALSE) AS items_ok")
+            .selectExpr("*", f"{raw_items} AS raw_items")
+            .selectExpr("*", "coalesce(size(items), size(raw_items), 0) = 0 AS no_items")
             .selectExpr("*", f"{item_classes} AS item_classes")
-            .selectExpr("*", f"{names} AS names", f"{records} AS records")
-            .selectExpr("*", f"{distinct_names} AS item_names", f"{data_class} AS data_class")
-            .selectExpr("*", f"{self._group_notes(no_items, no_data, strict)} AS group_notes")
+            .selectExpr("*", f"{names} AS names")
+            .selectExpr("*", f"{distinct_names} AS item_names")
             .selectExpr(
-                "doc_id", "domain", "oid", "item_names", "doc_notes", "group_notes", "nth", "anchor_rows", "anchor_has_id",
-                f"posexplode_outer({rows}) AS (pos, rec)",
+                "doc_id", "domain", "oid", "anchor_rows", "anchor_has_id", "item_names", "data_text",
+                f"size(item_names) > 0 AND NOT no_data{' AND NOT no_items' if strict else ''} AS has_data",
+                f"concat(doc_notes, {self._group_notes(strict)}) AS group_notes",
             )
+        )
+
+    def _records(self, targets: Sequence[str], strict: bool, anchor: str | None = None) -> DataFrame:
+        """One row per record of the targeted groups, and one for a group without records.
+
+        ``row_index`` counts the usable records (null for a skipped one), ``src_index`` all of
+        them. ``notes`` holds the findings; those about the document or the group sit on the
+        first row, so a single pass over the documents yields data and findings alike.
+        """
+        # Fast path: every record is an array. Otherwise kinds are told per record.
+        arrays = f"CASE WHEN has_data THEN from_json(data_text, 'ARRAY<{LIST}>') END"
+        sound = "arrays IS NOT NULL AND NOT exists(arrays, x -> x IS NULL)"
+        told = (
+            f"transform(zip_with(from_json(data_text, '{LIST}'), from_json(data_text, 'ARRAY<VARIANT>'),"
+            f" (t, v) -> named_struct('t', t, 'kind', {class_of_variant('v')})), (z, i) -> named_struct('src_index', i,"
+            f" 'kind', z.kind, 'cells', CASE WHEN {is_class('z.kind', 'list')} THEN from_json(z.t, '{LIST}') END))"
+        )
+        usable = is_class("r.kind", "list")
+        rows = (
+            f"CASE WHEN sound THEN transform(arrays, (x, i) -> {_row('i', 'i', 'x', quoted(_LIST))}) ELSE concat("
+            f"transform(filter(told, r -> {usable}), (r, j) -> {_row('j', 'r.src_index', 'r.cells', 'r.kind')}),"
+            f" transform(filter(told, r -> NOT {usable}),"
+            f" r -> {_row('CAST(NULL AS INT)', 'r.src_index', 'CAST(NULL AS ARRAY<STRING>)', 'r.kind')})) END"
+        )
+        quiet = f"pos > 0 AND {is_class('rec.kind', 'list')} AND size(rec.cells) = size(item_names)"
+        notes = (
+            f"CASE WHEN {quiet} THEN array() ELSE concat("
+            "CASE WHEN coalesce(pos, 0) = 0 THEN group_notes ELSE array() END,"
+            f" CASE WHEN rec IS NOT NULL THEN {found(self._record_hits())} ELSE array() END) END"
+        )
+        group = ["doc_id", "domain", "oid", "anchor_rows", "anchor_has_id", "item_names"]
+        return (
+            self._groups(targets, strict, anchor)
+            .selectExpr("*", f"{arrays} AS arrays")
+            .selectExpr("*", f"{sound} AS sound")
+            .selectExpr(*group, "group_notes", "arrays", "sound", f"CASE WHEN has_data AND NOT sound THEN {told} END AS told")
+            .selectExpr(*group, "group_notes", f"posexplode_outer({rows}) AS (pos, rec)")
             .selectExpr(
-                "doc_id", "domain", "oid", "item_names", "CAST(rec.row_index AS BIGINT) AS row_index",
-                "CAST(rec.src_index AS BIGINT) AS src_index", "rec.cells AS cells",
-                "anchor_rows", "anchor_has_id",
-                "concat(CASE WHEN coalesce(pos, 0) = 0 AND nth = 0 THEN doc_notes ELSE array() END,"
-                " CASE WHEN coalesce(pos, 0) = 0 THEN group_notes ELSE array() END,"
-                f" CASE WHEN rec IS NOT NULL THEN {found(self._record_hits())} ELSE array() END) AS notes",
+                *group, "CAST(rec.row_index AS BIGINT) AS row_index", "CAST(rec.src_index AS BIGINT) AS src_index",
+                "rec.cells AS cells", f"{notes} AS notes",
             )
         )
 
-    def _group_notes(self, no_items: str, no_data: str, strict: bool) -> str:
+    def _group_notes(self, strict: bool) -> str:
         not_inferred = X.DJ_TEXTS["DJ_110"][1]
         not_found = X.DJ_TEXTS["DJ_100"][1]
         alone = [
@@ -268,14 +304,14 @@ class DatasetJson:
                 "infer AND oid IS NULL", "DJ_110", "domain", "all_oids", message_sql=_filled(not_inferred, "domain")
             ),
             self._note(
-                "oid IS NOT NULL AND ds IS NULL", "DJ_100", "itemGroupData", "all_oids",
+                "oid IS NOT NULL AND NOT found", "DJ_100", "itemGroupData", "all_oids",
                 message_sql=_filled(not_found, "oid"),
             ),
-            self._note(f"ds IS NOT NULL AND {no_items}", "DJ_101", field_sql="concat(oid, '.items')"),
+            self._note("found AND no_items", "DJ_101", field_sql="concat(oid, '.items')"),
         ]
         # In strict mode the first of DJ_101 and DJ_102 ends the work on the group.
-        on_data = f"ds IS NOT NULL AND {no_data}" + (f" AND NOT ({no_items})" if strict else "")
-        fatal = f"({no_items} OR {no_data})" if strict else "FALSE"
+        on_data = "found AND no_data" + (" AND NOT no_items" if strict else "")
+        goes_on = "found AND NOT (no_items OR no_data)" if strict else "found"
         alone.append(self._note(on_data, "DJ_102", evidence="data_class", field_sql="concat(oid, '.itemData')"))
         severity, message = X.DJ_TEXTS["DJ_103"]
         # One finding per odd element, so these come from the array itself.
@@ -284,14 +320,12 @@ class DatasetJson:
             evidence="z.c", field_sql="concat(oid, '.items[', z.i, ']')",
         )
         odd_items = (
-            f"CASE WHEN ds IS NOT NULL AND NOT {fatal} THEN transform(filter("
+            f"CASE WHEN {goes_on} THEN transform(filter("
             f"transform(item_classes, (c, i) -> named_struct('c', c, 'i', i)), z -> NOT ({is_class('z.c', 'dict')})),"
             f" z -> {odd_item.as_struct()}) ELSE array() END"
         )
         nameless = [
-            self._note(
-                f"ds IS NOT NULL AND NOT {fatal} AND size(item_names) = 0", "DJ_104", field_sql="concat(oid, '.items')"
-            )
+            self._note(f"{goes_on} AND size(item_names) = 0", "DJ_104", field_sql="concat(oid, '.items')")
         ]
         return f"concat({found(alone)}, {odd_items}, {found(nameless)})"
 
@@ -313,21 +347,27 @@ class DatasetJson:
 
     def itemgroup_records(self, oids: Sequence[str], strict: bool = False) -> DataFrame:
         """Records of groups named by OID; ``domain`` holds the OID."""
-        return self._records(
-            [f"named_struct('domain', {quoted(o)}, 'infer', FALSE, 'oid', {quoted(o)})" for o in oids], strict
-        )
+        return self._records([_named_group(o) for o in oids], strict)
 
     def domain_table(self, domain: str, columns: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
-        """The domain as a table: doc_id, row_index, src_index and one string column per item."""
-        return as_table(self.records([domain], strict), columns)
+        """The domain as a table: doc_id, row_index, src_index and one string column per item.
+
+        Unless ``columns`` names the items wanted, the documents' items are listed first.
+        """
+        return self._table([self._target(domain)], columns, strict)
 
     def itemgroup_table(self, oid: str, columns: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
-        return as_table(self.itemgroup_records([oid], strict), columns)
+        return self._table([_named_group(oid)], columns, strict)
+
+    def _table(self, targets: Sequence[str], columns: Sequence[str] | None, strict: bool) -> DataFrame:
+        wanted = column_names(self._groups(targets, strict)) if columns is None else columns
+        usable = self._records(targets, strict).filter("row_index IS NOT NULL")
+        return usable.selectExpr("doc_id", "row_index", "src_index", *[f"{cell(c)} AS `{c}`" for c in wanted])
 
 
 def findings_of(records: DataFrame) -> DataFrame:
     """The findings that extraction left on the records."""
-    return records.selectExpr("doc_id", "inline(notes)")
+    return unpack(records, "notes", ["doc_id"])
 
 
 def cell(column: str) -> str:
@@ -335,10 +375,10 @@ def cell(column: str) -> str:
     return f"get(cells, CAST(array_position(item_names, {quoted(column)}) AS INT) - 1)"
 
 
-def column_names(records: DataFrame) -> list[str]:
+def column_names(groups: DataFrame) -> list[str]:
     """All item names in use, in item order. A name is schema, so there must be a sane number of them."""
     names = (
-        records.selectExpr("posexplode(item_names) AS (place, name)")
+        groups.selectExpr("posexplode(item_names) AS (place, name)")
         .groupBy("name")
         .agg(F.min("place").alias("place"))
         .orderBy("place", "name")
@@ -350,17 +390,22 @@ def column_names(records: DataFrame) -> list[str]:
     return [r["name"] for r in names]
 
 
-def as_table(records: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    wanted = column_names(records) if columns is None else columns
-    usable = records.filter("row_index IS NOT NULL")
-    return usable.selectExpr("doc_id", "row_index", "src_index", *[f"{cell(c)} AS `{c}`" for c in wanted])
+_LIST, _STR = (f"<class '{kind}'>" for kind in ("list", "str"))
+_ITEM = "name STRING, OID STRING"
+_ITEMS = f"ARRAY<STRUCT<{_ITEM}>>"
+
+
+def _is_list(json_text: str) -> str:
+    """``from_json`` writes nested values without spaces, so the first character tells."""
+    return f"coalesce(startswith({json_text}, '['), FALSE)"
 
 
-_DICT, _LIST, _STR, _NONE = (f"<class '{kind}'>" for kind in ("dict", "list", "str", "NoneType"))
+def _named_group(oid: str) -> str:
+    return f"named_struct('domain', {quoted(oid)}, 'infer', FALSE, 'oid', {quoted(oid)})"
 
 
-def _item_name(x: str) -> str:
-    return f"coalesce(nullif(from_json({x}, 'name STRING').name, ''), nullif(from_json({x}, 'OID STRING').OID, ''))"
+def _item_name(item: str, index: str) -> str:
+    return f"coalesce(nullif({item}.name, ''), nullif({item}.OID, ''), concat('COL_', {index}))"
 
 
 def _filled(message: str, column: str) -> str:
@@ -368,17 +413,5 @@ def _filled(message: str, column: str) -> str:
     return f"concat({quoted(before)}, {column}, {quoted(after)})"
 
 
-def _record(index: str, cells: str, kind: str) -> str:
-    return f"named_struct('src_index', {index}, 'cells', {cells}, 'kind', {kind})"
-
-
-def _row(row_index: str) -> str:
-    return f"named_struct('row_index', {row_index}, 'src_index', r.src_index, 'cells', r.cells, 'kind', r.kind)"
-
-
-def _when_list(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN {quoted(_NONE)} ELSE {quoted(_LIST)} END"
-
-
-def _cells(z: str) -> str:
-    return f"CASE WHEN {is_class(f'{z}.kind', 'list')} THEN from_json({z}.t, '{LIST}') END"
+def _row(row_index: str, src_index: str, cells: str, kind: str) -> str:
+    return f"named_struct('row_index', {row_index}, 'src_index', {src_index}, 'cells', {cells}, 'kind', {kind})"

@@ -9,13 +9,18 @@ order, so a table scores the same however it is partitioned.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The functions below run in Python workers, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The customary settings.
 TREES = 100
 SAMPLE_ROWS = 256
@@ -23,7 +28,7 @@ SAMPLE_ROWS = 256
 POOL_ROWS = 25_600
 # A tree takes part in the lottery for more rows than it needs and keeps the first SAMPLE_ROWS.
 LOTTERY_EXCESS = 1.4
-_LOTS = 1_000_000
+_LOTS = 2**63
 
 TREE_SCHEMA = "tree INT, feature ARRAY<INT>, threshold ARRAY<DOUBLE>, path ARRAY<DOUBLE>"
 
@@ -59,7 +64,7 @@ def grow_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple
             cell = (node + 1) * 2 ** (depth - level) - 1 - inner
             path[cell] = level + average_path(len(rows))
             continue
-        split = rng.choice(usable)
+        split = usable[rng.integers(len(usable))]
         at = rng.uniform(low[split], high[split])
         feature[node], threshold[node] = split, at
         right = rows[:, split] > at
@@ -72,19 +77,28 @@ def draw_samples(df: DataFrame, columns: Sequence[str], total: int, seed: int) -
     share = min(1.0, LOTTERY_EXCESS * POOL_ROWS / total)
     pool_size = min(total, POOL_ROWS)
     tree_share = 1.0 if pool_size <= SAMPLE_ROWS else min(1.0, LOTTERY_EXCESS * SAMPLE_ROWS / pool_size)
-    lot = f"pmod(xxhash64(row_index, {seed}), {_LOTS}L)"
+    lot, tree_lot = _lot(f"row_index, {seed}"), _lot(f"row_index, t, {seed}")
     pool = (
         df.selectExpr("row_index", *columns, f"{lot} AS lot")
-        .filter(f"lot < {share * _LOTS}")
+        .filter(f"lot <= {_last_lot(share)}")
         .orderBy("lot", "row_index")
         .limit(POOL_ROWS)
     )
-    drawn = f"filter(sequence(0, {TREES - 1}), t -> pmod(xxhash64(row_index, t, {seed}), {_LOTS}L) < {tree_share * _LOTS})"
+    drawn = f"filter(sequence(0, {TREES - 1}), t -> {tree_lot} <= {_last_lot(tree_share)})"
     return pool.selectExpr("row_index", *columns, f"explode({drawn}) AS tree").selectExpr(
         "tree", f"xxhash64(row_index, {seed}, tree) AS lot", *columns
     )
 
 
+def _lot(of: str) -> str:
+    """A number that is evenly spread over 0 .. 2^63 - 1."""
+    return f"(xxhash64({of}) & {_LOTS - 1}L)"
+
+
+def _last_lot(share: float) -> str:
+    return f"{min(_LOTS - 1, int(share * _LOTS))}L"
+
+
 def fit_forest(df: DataFrame, columns: Sequence[str], total: int, seed: int) -> tuple[pd.DataFrame, int]:
     """(one row per tree, rows per sample); ``df`` needs ``row_index`` and complete numeric columns."""
     columns = list(columns)
@@ -97,8 +111,11 @@ def fit_forest(df: DataFrame, columns: Sequence[str], total: int, seed: int) ->
         grown = grow_tree(chosen[columns].to_numpy(dtype=float), depth, np.random.default_rng([seed, tree]))
         return pd.DataFrame({"tree": [tree], **dict(zip(("feature", "threshold", "path"), ([a] for a in grown)))})
 
-    # 100 groups of a few hundred rows each, whatever the table holds.
-    trees = draw_samples(df, columns, total, seed).groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+    # 100 groups of a few hundred rows each, whatever the table holds. The number of partitions
+    # is given, as the planner would put so little data into one task.
+    tasks = min(TREES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    samples = draw_samples(df, columns, total, seed).repartition(tasks, "tree")
+    trees = samples.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
     return trees.orderBy("tree").toPandas(), sample_rows
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,11 +12,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import studylens as sl  # noqa: E402
+from studylens.operators.materialize import shared_folder  # noqa: E402
 from studylens.plans.domains import validate_rows  # noqa: E402
 from studylens.plans.visits import NUMBERS  # noqa: E402
 from studylens.rules import texts as X  # noqa: E402
 from studylens.sources.dataset_json import findings_of  # noqa: E402
-from studylens.sources.views import study_documents, view, view_sql  # noqa: E402
+from studylens.sources.views import study_documents, view, view_of, view_sql  # noqa: E402
+from studylens.streaming.findings import stream_row_findings, write_stream  # noqa: E402
 
 BLOCK = 100  # row numbers per document
 CODED_FIELDS = {"sdtm_dm": ["SEX"], "sdtm_vs": ["VSTESTCD"], "sdtm_ae": ["AESER", "AESEV"]}
@@ -80,6 +83,16 @@ def _anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return sl.detect_anomalies(_visits(spark, sf)).select("row_index", *NUMBERS, "anomaly")
 
 
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The AE rules over the events table read as a stream, to its end."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    findings = stream_row_findings(view_of(events, "sdtm_ae"), "AE")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    write_stream(findings, f"{out}/rows", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(findings.schema).parquet(f"{out}/rows").select(*findings.columns)
+
+
 def _row_index(spark: SparkSession, sf: str) -> DataFrame:
     table = spark.read.parquet(f"{sf}/orders.parquet")
     return sl.with_row_index(table, from_files=True).select("row_index", "o_orderkey")
@@ -98,9 +111,28 @@ _PLANTED = {
 
 
 def _faulty_documents(spark: SparkSession, sf: str) -> DataFrame:
-    sound = study_documents(spark, sf, ["VS"], BLOCK)
-    branches = " ".join(f"WHEN {k} THEN replace(doc, '{old}', '{new}')" for k, (old, new) in _PLANTED.items())
-    return sound.selectExpr("doc_id", f"CASE doc_id % 8 {branches} ELSE doc END AS doc")
+    return _plant(study_documents(spark, sf, ["VS"], BLOCK), _PLANTED)
+
+
+# Faults planted into the only item group, by doc_id % 7.
+_PLANTED_IN_GROUP = {
+    1: ('"items":', '"itms":'),
+    2: ('"itemData":', '"data":'),
+    3: ('"items":[', '"items":[3,null,'),
+    4: ('"itemData":[', '"itemData":"none","other":['),
+    5: ('"IG.VS":{"name":"VS",', '"IG.VS":5,"OTHER":{"name":"other",'),
+    6: ('"items":[', '"items":[],"itemData":{},"other":['),
+}
+
+
+def _plant(docs: DataFrame, faults: dict[int, tuple[str, str]]) -> DataFrame:
+    branches = " ".join(f"WHEN {k} THEN replace(doc, '{old}', '{new}')" for k, (old, new) in faults.items())
+    return docs.selectExpr("doc_id", f"CASE doc_id % {max(faults) + 1} {branches} ELSE doc END AS doc")
+
+
+def _group_findings(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
+    docs = _plant(study_documents(spark, sf, ["VS"], BLOCK), _PLANTED_IN_GROUP)
+    return findings_of(sl.DatasetJson(docs).records(["VS"], strict))
 
 
 # Faults planted into records, by row_index % 50 (vital signs have even row numbers).
@@ -133,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "vs_row_rules": on("sdtm_vs", sl.validate_vs),
         "ae_row_rules": on("sdtm_ae", sl.validate_ae),
+        "ae_row_rules_streamed": _streamed,
         "cm_row_rules": on("sdtm_cm", sl.validate_cm),
         "dm_rules_sdtm": on("sdtm_dm", lambda dm: validate_rows(dm, "DM", "sdtm")),
         "dm_rules_domain": on("sdtm_dm", lambda dm: sl.validate_dm(dm, "domain")),
@@ -157,6 +190,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "visit_anomalies": _anomalies,
         "file_row_index": _row_index,
         "djson_structure_findings": lambda spark, sf: sl.DatasetJson(_faulty_documents(spark, sf)).validate_top_level(),
+        "djson_list_itemgroups": lambda spark, sf: sl.DatasetJson(_all_documents(spark, sf))
+        .itemgroups()
+        .selectExpr("doc_id", "array_join(oids, ';') AS oids"),
+        "djson_group_findings": lambda spark, sf: _group_findings(spark, sf, strict=False),
+        "djson_group_findings_strict": lambda spark, sf: _group_findings(spark, sf, strict=True),
         "djson_domain_inference": lambda spark, sf: sl.DatasetJson(_faulty_documents(spark, sf)).itemgroup_oids(["VS", "DM"]),
         "djson_extract_dm": lambda spark, sf: sl.DatasetJson(study_documents(spark, sf, ["DM"], BLOCK)).domain_table("DM"),
         "djson_extract_faulty_vs": lambda spark, sf: _faulty_records(spark, sf).domain_table("VS", _VS_CELLS.split(", ")),
@@ -423,6 +461,30 @@ def _structure_sql() -> str:
     return _with(["sdtm_vs"], f", {_VS_DOCS} " + " UNION ALL ".join(parts))
 
 
+def _group_findings_sql(strict: bool) -> str:
+    items, data, none = "'IG.VS.items'", "'IG.VS.itemData'", "'<class ''NoneType''>'"
+
+    def dj(rule_id: str, field: str, evidence: str, *faults: int) -> str:
+        return _dj(rule_id, field, evidence, f"doc_id % 7 IN ({', '.join(map(str, faults))})", "docs")
+
+    parts = [
+        dj("DJ_101", items, "''", 1, 6),
+        dj("DJ_102", data, none, 2),
+        dj("DJ_103", "'IG.VS.items[0]'", "'<class ''int''>'", 3),
+        dj("DJ_103", "'IG.VS.items[1]'", none, 3),
+        dj("DJ_102", data, "'<class ''str''>'", 4),
+        _dj("DJ_100", "'itemGroupData'", "'IG.VS;OTHER'", "doc_id % 7 = 5", "docs", message="ItemGroup 'IG.VS' not found in itemGroupData."),
+    ]
+    if not strict:
+        parts.append(dj("DJ_104", items, "''", 1, 6))
+    return _with(["sdtm_vs"], f", {_VS_DOCS} " + " UNION ALL ".join(parts))
+
+
+def _oids_sql() -> str:
+    docs = " UNION ALL ".join(f"SELECT row_index // {BLOCK} AS doc_id, {i} AS place, 'IG.{d}' AS oid FROM sdtm_{d.lower()}" for i, d in enumerate(X.DOMAINS))
+    return _with(_STUDY_VIEWS, f"SELECT doc_id, string_agg(oid, ';' ORDER BY place) AS oids FROM (SELECT DISTINCT * FROM ({docs})) GROUP BY doc_id")
+
+
 def _inference_sql() -> str:
     oid = "CASE WHEN doc_id % 8 IN (0, 1, 6) THEN 'IG.VS' WHEN doc_id % 8 = 7 THEN 'IG.QVS' END"
     return _with(
@@ -505,6 +567,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "vs_row_rules": _with(["sdtm_vs"], _rules("VS")),
         "ae_row_rules": _with(["sdtm_ae"], _rules("AE")),
+        "ae_row_rules_streamed": _with(["sdtm_ae"], _rules("AE")),
         "cm_row_rules": _with(["sdtm_cm"], _rules("CM")),
         "dm_rules_sdtm": _with(["sdtm_dm"], _rules("DM_SDTM")),
         "dm_rules_domain": _with(["sdtm_dm"], f"{_rules('DM_DOMAIN')} UNION ALL {_duplicates('all', blank_is_a_key=False)}"),
@@ -532,6 +595,9 @@ def oracle_sql() -> dict[str, str]:
         "report_preview": f"WITH {flags} SELECT * FROM flags WHERE {_INVALID} ORDER BY row_index LIMIT 25",
         "file_row_index": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey FROM orders",
         "djson_structure_findings": _structure_sql(),
+        "djson_list_itemgroups": _oids_sql(),
+        "djson_group_findings": _group_findings_sql(strict=False),
+        "djson_group_findings_strict": _group_findings_sql(strict=True),
         "djson_domain_inference": _inference_sql(),
         "djson_extract_dm": _with(
             ["sdtm_dm"], f"SELECT doc_id, row_index, row_index AS src_index, {dm_columns} FROM {_in_documents('sdtm_dm')}"

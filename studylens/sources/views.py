@@ -67,11 +67,14 @@ VIEWS = {
 }
 
 
+def view_of(source: DataFrame, name: str) -> DataFrame:
+    """The view over its source table, which may also be a stream."""
+    _, columns, condition = VIEWS[name]
+    return source.filter(condition).selectExpr(*[c.strip() for c in columns.split(",\n")])
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    table, columns, condition = VIEWS[name]
-    source = spark.read.parquet(f"{folder}/{table}.parquet")
-    parts = [c.strip() for c in columns.split(",\n")]
-    return source.filter(condition).selectExpr(*parts)
+    return view_of(spark.read.parquet(f"{folder}/{VIEWS[name][0]}.parquet"), name)
 
 
 def view_sql(name: str) -> str:

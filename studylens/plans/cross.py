@@ -25,7 +25,8 @@ class CrossRule:
     """Rows of domain ``of`` judged by what the subject has in domain ``against``.
 
     ``subject`` holds for every subject that may own a violating row; ``row`` then
-    decides per row. ``orphan`` rules also fire on rows without a subject id.
+    decides per row. ``measures`` are the columns of the subject profile both rest on.
+    ``orphan`` rules also fire on rows without a subject id.
     """
 
     rule_id: str
@@ -34,12 +35,13 @@ class CrossRule:
     subject: str
     row: str
     evidence: str
+    measures: tuple[str, ...]
     orphan: bool = False
 
 
 def orphan_rule(rule_id: str, of: str, against: str) -> CrossRule:
     absent = f"n_{against} = 0"
-    return CrossRule(rule_id, of, against, absent, absent, "USUBJID", orphan=True)
+    return CrossRule(rule_id, of, against, absent, absent, "USUBJID", (f"n_{against}",), orphan=True)
 
 
 def outside_range_rule(rule_id: str, of: str, against: str, tolerance_days: int = 0) -> CrossRule:
@@ -56,46 +58,50 @@ def outside_range_rule(rule_id: str, of: str, against: str, tolerance_days: int
     return CrossRule(
         rule_id, of, against,
         subject=beyond(f"{of}_first", f"{of}_latest_start"),
-        row=beyond("_start", "_start"),
+        row=beyond(f"({iso_date('_raw')})", f"({iso_date('_raw')})"),
         evidence=joined("_raw", "' vs ['", text(first), "', '", text(last), "']'"),
+        measures=(f"{of}_first", f"{of}_latest_start", first, last),
     )
 
 
 def _subject_rows(df: DataFrame, domain: str, on: Sequence[str]) -> DataFrame:
-    """Only the columns that cross checks need, so that little is shuffled."""
-    started, ended = START_DATE.get(domain), END_DATE.get(domain)
-    raw = text(started) if started in df.columns else "CAST(NULL AS STRING)"
-    start = iso_date(raw)
-    if ended is None:
-        end = start
-    elif ended in df.columns:
-        end = f"CASE WHEN ({start}) IS NOT NULL THEN {iso_date(text(ended))} END"
-    else:
-        end = "CAST(NULL AS DATE)"
+    """Only the columns that cross checks need, as written: dates are parsed where they are used."""
+    started, ended = START_DATE.get(domain), END_DATE.get(domain, START_DATE.get(domain))
     keys = [f"{text(c)} AS {c}" if c == "USUBJID" else c for c in on]
-    return df.selectExpr(*keys, ROW_INDEX, f"{raw} AS _raw", f"{start} AS _start", f"{end} AS _end")
+    dates = [text(c) if c in df.columns else "CAST(NULL AS STRING)" for c in (started, ended)]
+    return df.selectExpr(*keys, ROW_INDEX, f"{dates[0]} AS _raw", f"{dates[1]} AS _raw_end")
 
 
-def subject_profile(rows: Mapping[str, DataFrame], on: Sequence[str] = ("USUBJID",)) -> DataFrame:
-    """One row per subject: per domain the row count, first start, last start, last end.
+def _measure(name: str, domain: str) -> str | None:
+    """SQL of a profile column; each rests on one column that only its own domain fills."""
+    return {
+        f"n_{domain}": f"count(in_{domain})",
+        f"{domain}_first": f"min({domain}_start)",
+        f"{domain}_latest_start": f"max({domain}_start)",
+        f"{domain}_last": f"max({domain}_end)",
+    }.get(name)
+
+
+def subject_profile(
+    rows: Mapping[str, DataFrame], measures: Sequence[str], on: Sequence[str] = ("USUBJID",)
+) -> DataFrame:
+    """One row per subject with the measures asked for: ``n_VS``, ``VS_first``, ``VS_latest_start``, ``VS_last``.
 
     One aggregation over the union of all domains, in place of a distinct or a
     group-by per check; it is combined map-side, so hot subjects cost nothing extra.
+    What no measure needs is not read.
     """
+    # An end counts only where the start is a date.
+    start, end = iso_date("_raw"), iso_date("_raw_end")
     parts = [
-        df.filter("USUBJID IS NOT NULL").selectExpr(*on, f"'{domain}' AS _domain", "_start", "_end")
-        for domain, df in rows.items()
+        df.filter("USUBJID IS NOT NULL").selectExpr(
+            *on, f"1 AS in_{d}", f"{start} AS {d}_start", f"CASE WHEN ({start}) IS NOT NULL THEN {end} END AS {d}_end"
+        )
+        for d, df in rows.items()
     ]
-    measures = []
-    for d in rows:
-        own = f"FILTER (WHERE _domain = '{d}')"
-        measures += [
-            f"count(1) {own} AS n_{d}",
-            f"min(_start) {own} AS {d}_first",
-            f"max(_start) {own} AS {d}_latest_start",
-            f"max(_end) {own} AS {d}_last",
-        ]
-    return reduce(DataFrame.unionByName, parts).groupBy(*on).agg(*map(F.expr, measures))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sql = {name: next(filter(None, (_measure(name, d) for d in rows))) for name in dict.fromkeys(measures)}
+    return union.groupBy(*on).agg(*[F.expr(f"{of} AS {name}") for name, of in sql.items()])
 
 
 def cross_findings(
@@ -112,7 +118,8 @@ def cross_findings(
     needed = {r.of for r in rules} | {r.against for r in rules}
     used = [d for d in tables if d in needed]
     rows = {d: _subject_rows(tables[d], d, on) for d in used}
-    profile = materialize(subject_profile(rows, on), "subjects")
+    measures = [m for r in rules for m in (f"n_{r.of}", *r.measures)]
+    profile = materialize(subject_profile(rows, measures, on), "subjects")
     carry = [c for c in on if c != "USUBJID"]
     own_rules = {d: [r for r in rules if r.of == d] for d in used}
     own_rules = {d: own for d, own in own_rules.items() if own}
@@ -123,7 +130,7 @@ def cross_findings(
     parts = []
     for domain, own in own_rules.items():
         matched = rows_of_keys(
-            rows[domain], profile.filter(suspect[domain]), on, f"n_{domain}", sizes[domain], broadcast_bytes
+            rows[domain].drop("_raw_end"), profile.filter(suspect[domain]), on, f"n_{domain}", sizes[domain], broadcast_bytes
         )
         parts.append(emit(matched, [_hit(r, r.row) for r in own], carry))
         orphans = [r for r in own if r.orphan]

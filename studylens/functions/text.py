@@ -34,7 +34,8 @@ def stripped(x: str) -> str:
 
 
 def null_or_blank(x: str) -> str:
-    return f"({x} IS NULL OR {stripped(x)} = '')"
+    """Most texts begin with a printable ASCII character, which a plain comparison settles."""
+    return f"({x} IS NULL OR (NOT ({x} >= '!' AND {x} < '\x7f') AND {stripped(x)} = ''))"
 
 
 def looks_like_iso_date(x: str) -> str:

@@ -8,34 +8,38 @@ from pyspark.sql import functions as F
 from .materialize import materialize
 
 ROW_INDEX = "row_index"
+_SPLIT = ["_file", "_block"]
 
 
 def with_row_index(df: DataFrame, from_files: bool = False) -> DataFrame:
     """Adds a contiguous 0-based ``row_index`` unless the table already has one.
 
-    With ``from_files`` (a plain file scan) the index follows the rows' order in the
-    files, files in path order; otherwise it follows the partitions' order. A counting
-    pass writes one row per input split (its size and first id), so the data itself is
-    neither sorted nor shuffled: each row's index is split offset + place in split.
+    With ``from_files``, for a table that is a plain file scan, the index follows the rows'
+    order in the files, files in path order. A counting pass writes one row per input split;
+    the data itself is neither sorted, shuffled nor copied: a row's index is the offset of
+    its split plus its place there.
 
-    A stable key from the source is better where there is one: an index is only as
-    repeatable as the order in which the source delivers its rows.
+    Any other table might deliver its rows in another order when it is computed again, so
+    it is written down first, and the index follows the partitions as they were written.
+    A stable key from the source is better than either.
     """
     if ROW_INDEX in df.columns:
         return df
-    if from_files:
-        split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    else:
-        split = [F.lit("").alias("_file"), F.spark_partition_id().cast("bigint").alias("_block")]
-    tagged = df.select("*", *split, F.monotonically_increasing_id().alias("_id"))
-    # One row per input split: a global window over it is a window over file-listing-sized data.
-    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    columns, split = df.columns, ["_metadata.file_path AS _file", "_metadata.file_block_start AS _block"]
+    if not from_files:
+        split = ["'' AS _file", "CAST(spark_partition_id() AS BIGINT) AS _block"]
+    tagged = df.selectExpr("*", *split, "monotonically_increasing_id() AS _id")
+    if not from_files:
+        tagged = materialize(tagged, "numbered-rows")
+    # One row per input split, so this global window runs over data the size of a file listing.
+    before = Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy("_file", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-        .select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
+        tagged.groupBy(*_SPLIT)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
+        .select(*_SPLIT, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     # Written to files, so Spark knows its true size and broadcasts it only below its threshold.
     offsets = materialize(offsets, "row-offsets")
-    index = (F.col("_offset") + F.col("_id") - F.col("_first")).cast("bigint")
-    return tagged.join(offsets, ["_file", "_block"]).select(index.alias(ROW_INDEX), *df.columns)
+    return tagged.join(offsets, _SPLIT).selectExpr(
+        f"CAST(_offset + _id - _first AS BIGINT) AS {ROW_INDEX}", *[f"`{c}`" for c in columns]
+    )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from studylens.operators import quantiles
-from studylens.operators.isolation import average_path, depth_limit, fit_forest, grow_tree, with_scores
+from studylens.operators.isolation import average_path, depth_limit, draw_samples, fit_forest, grow_tree, with_scores
 from studylens.operators.materialize import materialize
 from studylens.operators.quantiles import exact_quantiles
 from studylens.operators.rowid import with_row_index
@@ -39,6 +39,14 @@ def test_row_index_of_any_table(spark):
     assert with_row_index(with_row_index(table)).columns == ["row_index", "n"]
 
 
+def test_row_index_of_a_shuffled_table_is_stable(spark):
+    shuffled = spark.range(500).selectExpr("id AS n", "rand() AS r").repartition(4, "r").groupBy("n", "r").count()
+    indexed = with_row_index(shuffled)
+    first = {r.n: r.row_index for r in indexed.collect()}
+    assert sorted(first.values()) == list(range(500))
+    assert {r.n: r.row_index for r in indexed.collect()} == first
+
+
 def test_supplied_row_index_is_kept(table):
     given = table(A=["x"])
     assert with_row_index(given) is given
@@ -86,6 +94,43 @@ def test_tree_isolates_every_row():
     assert average_path(256) == pytest.approx(10.244, abs=0.01)
 
 
+def test_scores_against_a_walk_through_every_tree(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(80, 2)) * [1.0, 50.0]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(values)], "row_index BIGINT, a DOUBLE, b DOUBLE")
+    forest, sample_rows = fit_forest(df.repartition(3), ["a", "b"], 80, 42)
+    assert sample_rows == 80
+
+    def path_length(tree, row):
+        node = 0
+        while node < len(tree.feature):
+            node = 2 * node + (2 if row[tree.feature[node]] > tree.threshold[node] else 1)
+        return tree.path[node - len(tree.feature)]
+
+    expected = [
+        2 ** (-statistics.mean(path_length(t, row) for t in forest.itertuples()) / average_path(80)) for row in values
+    ]
+    scored = with_scores(df, ["a", "b"], forest, sample_rows, "s").orderBy("row_index").collect()
+    assert [r.s for r in scored] == pytest.approx(expected, rel=1e-12)
+    again, _ = fit_forest(df.coalesce(1).orderBy("b"), ["a", "b"], 80, 42)
+    assert all((list(x) == list(y)) for x, y in zip(forest.threshold, again.threshold))
+    # Every tree isolates its whole sample: each row ends in a cell whose path fits its depth.
+    assert all(0 < path_length(t, values[0]) <= depth_limit(80) + average_path(80) for t in forest.itertuples())
+
+
+def test_samples_are_bounded_and_spread(spark):
+    df = spark.range(200_000).selectExpr("id AS row_index", "CAST(id AS DOUBLE) AS a")
+    samples = draw_samples(df, ["a"], 200_000, 42)
+    per_tree = {r["tree"]: r["count"] for r in samples.groupBy("tree").count().collect()}
+    assert len(per_tree) == 100
+    assert min(per_tree.values()) >= 256
+    assert max(per_tree.values()) < 1000
+    low, mean, high = samples.selectExpr("min(a)", "avg(a)", "max(a)").first()
+    assert low < 2_000
+    assert high > 198_000
+    assert mean == pytest.approx(100_000, rel=0.05)
+
+
 def test_constant_data_has_one_score(spark):
     df = spark.range(50).selectExpr("id AS row_index", "1.0D AS a", "2.0D AS b")
     forest, sample_rows = fit_forest(df, ["a", "b"], 50, 42)

@@ -135,7 +135,7 @@ def _group_findings(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
     return findings_of(sl.DatasetJson(docs).records(["VS"], strict))
 
 
-# Faults planted into records, by row_index % 50 (vital signs have even row numbers).
+# Faults planted into records, by row_index % 50.
 _VS_CELLS = "USUBJID, VSTESTCD, VSORRES, VSORRESU, VSDTC"
 _FAULTY_RECORD = f"""CASE row_index % 50 WHEN 0 THEN '5' WHEN 2 THEN to_json(array(USUBJID, VSTESTCD))
  WHEN 4 THEN to_json(array({_VS_CELLS}, 'x', 'y')) WHEN 6 THEN 'null' WHEN 8 THEN '{{"a":1}}'

@@ -165,3 +165,18 @@ def test_clean_rows_are_not_shuffled(spark, tmp_path):
     plan = cross_findings(read, vs_ae_rules())._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert "hashpartitioning" not in plan
+
+
+def test_compound_keys_under_skew(spark):
+    tables = {
+        d: t.selectExpr("row_index % 4 AS doc_id", "*") for d, t in skewed_study(spark, 400).items() if d in ("DM", "AE")
+    }
+    on = ("doc_id", "USUBJID")
+    key = lambda r: tuple(map(str, r))
+    one, other = (
+        sorted(cross_findings(tables, [dm_link_rule("AE")], on=on, broadcast_bytes=b).collect(), key=key) for b in (None, 0)
+    )
+    assert one == other
+    known = {(r.doc_id, r.USUBJID) for r in tables["DM"].collect()}
+    orphans = [r for r in tables["AE"].collect() if r.USUBJID is None or (r.doc_id, r.USUBJID) not in known]
+    assert sorted((r.doc_id, r.row_index) for r in one) == sorted((r.doc_id, r.row_index) for r in orphans)

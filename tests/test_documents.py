@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 import studylens as sl
 from studylens.sources.dataset_json import findings_of
@@ -275,3 +277,61 @@ def test_domain_profile_and_repeats(documents):
     no_study = full_document(DM=group(["USUBJID"], [["s"], ["s"]]))
     found = sl.validate_documents(documents(d=no_study).docs, ["DM"], dm_profile="domain").findings.collect()
     assert [(r.rule_id, r.finding_type) for r in found] == [("SDTM_DM_000", "CROSS_DOMAIN")]
+
+
+ABSENT = object()
+ROOTS = [
+    ABSENT, None, False, True, 0, 1, 0.0, -0.0, 1.5, 10**25, "", "x", "0", "false", "{}", "[]", [], [1], [[]], {}, {"x": 1},
+    {"itemGroupData": None}, {"itemGroupData": {}}, {"itemGroupData": []}, {"itemGroupData": "s"}, {"itemGroupData": ""},
+    {"itemGroupData": 3}, {"itemGroupData": False}, {"itemGroupData": [{}]}, {"itemGroupData": {"A": 1}},
+]
+
+
+def expected_structure(clinical, reference):
+    given = [v for v in (clinical, reference) if v is not ABSENT]
+    if not given:
+        return [("DJ_001", "")]
+    value = clinical if clinical is not ABSENT and clinical else (None if reference is ABSENT else reference)
+    if not isinstance(value, dict):
+        return [("DJ_002", str(type(value)))]
+    if "itemGroupData" not in value:
+        return [("DJ_003", "")]
+    groups = value["itemGroupData"]
+    return [] if isinstance(groups, dict) else [("DJ_004", str(type(groups)))]
+
+
+def test_every_pair_of_roots(documents):
+    docs, expected = {}, {}
+    for i, clinical in enumerate(ROOTS):
+        for j, reference in enumerate(ROOTS):
+            name = f"{i}/{j}"
+            roots = {"clinicalData": clinical, "referenceData": reference}
+            docs[name] = {**HEAD, **{k: v for k, v in roots.items() if v is not ABSENT}}
+            if faults := expected_structure(clinical, reference):
+                expected[name] = faults
+    assert by_document(documents(**docs).validate_top_level(), "rule_id", "evidence") == expected
+
+
+cells = st.one_of(st.none(), st.text(max_size=12), st.integers(-(10**6), 10**6))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    tables=st.lists(
+        st.integers(1, 4).flatmap(lambda n: st.lists(st.lists(cells, min_size=n, max_size=n), min_size=1, max_size=6)),
+        min_size=1, max_size=5,
+    )
+)
+def test_round_trip(documents, tables):
+    docs = {
+        str(i): with_groups({"IG.DM": group([f"C{k}" for k in range(len(rows[0]))], rows)}) for i, rows in enumerate(tables)
+    }
+    dj = documents(**docs)
+    columns = ["C0", "C1", "C2", "C3"]
+    found = {(r.doc_id, r.row_index): [r[c] for c in columns] for r in dj.domain_table("DM", columns).collect()}
+    assert found == {
+        (str(i), n): [None if v is None else str(v) for v in [*row, None, None, None, None][:4]]
+        for i, rows in enumerate(tables)
+        for n, row in enumerate(rows)
+    }
+    assert findings_of(dj.records(["DM"])).count() == 0

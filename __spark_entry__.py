@@ -72,7 +72,7 @@ def _codelists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _visits(spark: SparkSession, sf: str) -> DataFrame:
-    return sl.apply_rules(view(spark, sf, "edc_visits"))
+    return sl.apply_rules(view(spark, sf, "visit_records"))
 
 
 def _imputed(spark: SparkSession, sf: str) -> DataFrame:
@@ -425,8 +425,8 @@ def _codelist_sql() -> str:
 def _flags_cte() -> str:
     whole = "CASE WHEN regexp_full_match(age, '[+-]?[0-9]+') THEN TRY_CAST(age AS BIGINT) END"
     return (
-        f"edc_visits AS ({view_sql('edc_visits')}), nums AS (SELECT *, {whole} AS age_num,"
-        f" {_n('systolic_bp')} AS systolic_bp_num, {_n('treatment_dose')} AS treatment_dose_num FROM edc_visits),"
+        f"visit_records AS ({view_sql('visit_records')}), nums AS (SELECT *, {whole} AS age_num,"
+        f" {_n('systolic_bp')} AS systolic_bp_num, {_n('treatment_dose')} AS treatment_dose_num FROM visit_records),"
         " flags AS (SELECT *, CASE WHEN age_num BETWEEN 18 AND 100 THEN 1 ELSE 0 END AS age_valid,"
         " CASE WHEN systolic_bp_num BETWEEN 90 AND 180 THEN 1 ELSE 0 END AS bp_valid,"
         " CASE WHEN treatment_dose_num > 0 THEN 1 ELSE 0 END AS dose_valid,"

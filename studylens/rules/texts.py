@@ -5,7 +5,6 @@ are compared by rule id, severity, field and message."""
 SDTM_RULE = "SDTM_RULE"
 CROSS_DOMAIN = "CROSS_DOMAIN"
 DATASET_JSON = "DATASET_JSON"
-SEVERITIES = ["LOW", "MED", "HIGH", "CRIT"]
 DOMAINS = ["DM", "VS", "AE", "CM"]
 
 # --- Fixed values: controlled terms -------------------------------------------

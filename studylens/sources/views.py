@@ -56,7 +56,7 @@ VIEWS = {
  CASE WHEN event_id % 71 = 0 THEN '2023-12-31' WHEN event_id % 73 = 0 THEN 'unk' ELSE '2024-01-20' END AS CMENDTC""",
         "event_type = 'purchase'",
     ),
-    "edc_visits": (
+    "visit_records": (
         "orders",
         """o_orderkey AS row_index,
  CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(o_custkey % 120 AS STRING) END AS age,

@@ -113,7 +113,7 @@ def fit_forest(df: DataFrame, columns: Sequence[str], total: int, seed: int) ->
 
     # 100 groups of a few hundred rows each, whatever the table holds. The number of partitions
     # is given, as the planner would put so little data into one task.
-    tasks = min(TREES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(TREES, df.sparkSession.sparkContext.defaultParallelism)
     samples = draw_samples(df, columns, total, seed).repartition(tasks, "tree")
     trees = samples.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
     return trees.orderBy("tree").toPandas(), sample_rows

@@ -155,6 +155,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return _all_findings(spark, "/root/testdata/sf0.001")
 
 
+def _text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL for training text; none if that subpackage is not installed."""
+    found, sql = {}, {}
+    try:
+        from studylens.llm import queries as own
+
+        found, sql = dict(own.QUERIES), dict(own.ORACLES)
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL is not None:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ImportError as missing:
+        if missing.name not in ("studylens.llm", "studylens.llm.queries", "corpus_pipeline"):
+            raise
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on(name: str, check: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf: check(view(spark, sf, name))
@@ -200,6 +218,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "djson_extract_faulty_vs": lambda spark, sf: _faulty_records(spark, sf).domain_table("VS", _VS_CELLS.split(", ")),
         "djson_record_findings": lambda spark, sf: findings_of(_faulty_records(spark, sf).records(["VS"])),
         "djson_study_findings": lambda spark, sf: sl.validate_documents(_all_documents(spark, sf)).findings,
+        **_text_queries()[0],
     }
 
 
@@ -605,4 +624,5 @@ def oracle_sql() -> dict[str, str]:
         "djson_extract_faulty_vs": _faulty_vs_sql(),
         "djson_record_findings": _record_findings_sql(),
         "djson_study_findings": _documents_sql(),
+        **_text_queries()[1],
     }

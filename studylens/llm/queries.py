@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, packing, pieces, quality, sharding, topk, toxicity
+from . import jaccard, licenses, packing, pieces, quality, sharding, suffixes, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -73,9 +73,14 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without byte strings of 400 that occur twice; see ``suffixes``."""
+    return suffixes.spans(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op9_sharding)
+    for f in (op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op9_sharding, op10_suffixes)
 }
 
 ORACLES = {

@@ -38,8 +38,8 @@ from .textbytes import as_bytes, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 1 << 20  # text in a shard, about
-CHAIN = 512  # places that Kasai's rule walks in a row
+SHARD_BYTES = 1 << 18  # text in a shard, about
+CHAIN = 128  # places that Kasai's rule walks in a row
 BROADCAST_BYTES = 32 << 20
 
 
@@ -402,3 +402,24 @@ def spans(table: DataFrame, key: str, text: str, length: int = LENGTH, gram: int
     return rows.select("doc", "text", "copies", "starts", "ends").mapInArrow(
         run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+
+
+def clean(table: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The table with repeated strings taken out of the text; rows whose text goes completely are dropped."""
+    names = table.columns
+    own = F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row")
+    rows = _rows_with_spans(table.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"), own), length, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                lists = zip(texts, *(part.column(c).to_pylist() for c in ("copies", "starts", "ends")), strict=True)
+                left = [t if t is None else _kept(t.encode(), *more, length)[0].decode("utf-8", "ignore") for t, *more in lists]
+                stay = pa.array([not t or bool(k) for t, k in zip(texts, left, strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.string())], names=["row", "text"]).filter(stay)
+
+    row = rows.schema["row"].dataType
+    kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in row.fields) + ">"
+    done = rows.select("row", "text", "copies", "starts", "ends").mapInArrow(run, f"row {kind}, text string")
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names])

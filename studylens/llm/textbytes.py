@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # numpy works on slices of about this much text; a longer text is a slice of its own
+CHUNK_BYTES = 1 << 20  # numpy works on slices of about this much text; a longer text is a slice of its own
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, packing, pieces, quality, sharding, suffixes, topk, toxicity
+from . import jaccard, licenses, linededup, packing, pieces, quality, sharding, suffixes, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.assess(_table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
+def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document that repeat an earlier one but for two edits; see ``linededup``."""
+    return linededup.count_lines(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Shard 0 to 7 of every document, its slot there, and its shard if there were one more; see ``sharding``."""
     documents = _table(spark, sf, "documents")
@@ -80,7 +85,7 @@ def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op9_sharding, op10_suffixes)
+    for f in (op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op8_lines, op9_sharding, op10_suffixes)
 }
 
 ORACLES = {

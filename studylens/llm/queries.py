@@ -91,9 +91,9 @@ QUERIES = {
 ORACLES = {
     "op5_topk": """
         WITH parts AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM parts q JOIN parts c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0

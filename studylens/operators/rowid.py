@@ -15,9 +15,9 @@ def with_row_index(df: DataFrame, from_files: bool = False) -> DataFrame:
     """Adds a contiguous 0-based ``row_index`` unless the table already has one.
 
     With ``from_files``, for a table that is a plain file scan, the index follows the rows'
-    order in the files, files in path order. A counting pass writes one row per input split;
-    the data itself is neither sorted, shuffled nor copied: a row's index is the offset of
-    its split plus its place there.
+    order in the files, files in path order. The table is written once, with the split that each
+    row came from, and is neither sorted nor shuffled: a row's index is the offset of its split
+    plus its place there, whatever the splits of later scans.
 
     Any other table might deliver its rows in another order when it is computed again, so
     it is written down first, and the index follows the partitions as they were written.
@@ -29,8 +29,8 @@ def with_row_index(df: DataFrame, from_files: bool = False) -> DataFrame:
     if not from_files:
         split = ["'' AS _file", "CAST(spark_partition_id() AS BIGINT) AS _block"]
     tagged = df.selectExpr("*", *split, "monotonically_increasing_id() AS _id")
-    if not from_files:
-        tagged = materialize(tagged, "numbered-rows")
+    # Written once with its tags: a second scan could be split otherwise and lose rows in the join.
+    tagged = materialize(tagged, "numbered-rows")
     # One row per input split, so this global window runs over data the size of a file listing.
     before = Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

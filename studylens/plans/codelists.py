@@ -22,11 +22,12 @@ def codelist_violations(
 ) -> DataFrame:
     """(row_index, field, value) for every value outside the codelist named like its column.
 
-    Columns without a codelist are skipped, and so are nulls. Ordinary codelists become a
+    Columns that are absent or have no codelist are skipped, and so are null values and null terms. Ordinary codelists become a
     hash-set filter in one narrow pass. Larger ones are compared with the distinct values,
     and the rows of the offending values are fetched afterwards.
     """
-    terms = codelists.selectExpr("codelist AS field", "term AS value").filter(F.col("field").isin(list(fields)))
+    fields = [f for f in fields if f in df.columns]
+    terms = codelists.selectExpr("codelist AS field", "term AS value").filter(F.col("field").isin(fields) & F.col("value").isNotNull())
     few = terms.limit(inline_terms + 1).collect()
     if len(few) > inline_terms:
         return _against_many_terms(df, terms.distinct(), fields)

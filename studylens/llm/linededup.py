@@ -30,11 +30,12 @@ from ..operators.keyed import total_bytes
 from ..operators.materialize import materialize
 from .components import connected_components
 from .leads import met, route
-from .textbytes import as_bytes, lines, mix, prefix_hash, slices, span_hash
+from .textbytes import CHUNK_BYTES, as_bytes, lines, mix, prefix_hash, slices, span_hash
 
 EDITS = 2
 LEAST = 32  # bytes
 GROUP_LINES = 2_000
+LONG = 256  # bytes from which common beginnings and ends of two lines are taken off first
 BROADCAST_BYTES = 32 << 20
 
 
@@ -69,79 +70,134 @@ def segment_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def within(patterns: list[bytes], texts: list[bytes], edits: int) -> np.ndarray:
-    """Whether each pattern, not longer than its text, is within ``edits`` byte edits of it.
+class Packed:
+    """Lines in one byte buffer, each between bytes that occur in no UTF-8 text."""
+
+    def __init__(self, texts: list[bytes], edits: int):
+        before, behind = b"\xff" * edits, b"\xff" * (2 * edits + 1)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.buffer = np.frombuffer(b"".join(x for t in texts for x in (before, t, behind)), np.uint8)
+        self.starts = np.cumsum(self.sizes + 3 * edits + 1) - self.sizes - 2 * edits - 1
+
+
+def _distances(packed: Packed, pattern: np.ndarray, text: np.ndarray, edits: int) -> np.ndarray:
+    """Whether each pattern line, not longer than its text line, is within ``edits`` byte edits of it.
 
     Bit k of a word stands for the pattern row ``column - edits + k``: a band along the diagonal, moved down
     a row with each column of the text. Differences of neighbouring cells are kept in bits (Myers, Hyyrö).
+    Cells of the band differ from the diagonal's by at most ``edits``, and no path to the end has a smaller
+    cell than its beginning, so a pair whose diagonal exceeds twice the edits is given up.
     """
-    n = np.array([len(p) for p in patterns])
-    m = np.array([len(t) for t in texts])
-    order = np.argsort(-m, kind="stable")
-    n, m = n[order], m[order]
-    wide = int(m.max(initial=0))
-    a, b = np.zeros((len(n), wide + 1), np.int16), np.zeros((len(n), wide + 1), np.int16)
-    for row, k in enumerate(order.tolist()):
-        a[row, : n[row]] = np.frombuffer(patterns[k], np.uint8)
-        b[row, : m[row]] = np.frombuffer(texts[k], np.uint8)
-        a[row, n[row] :], b[row, m[row] :] = -1, -2
+    buffer, out = packed.buffer, np.zeros(len(pattern), bool)
+    pair = np.flatnonzero(packed.sizes[text] - packed.sizes[pattern] <= edits)
+    n, m = packed.sizes[pattern[pair]], packed.sizes[text[pair]]
+    row0, column0 = packed.starts[pattern[pair]] - edits - 1, packed.starts[text[pair]] - 1
     one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
     top = np.uint64((1 << edits) - 1)  # rows up to 0 before the first column
-    plus, minus = np.full(len(n), full ^ top), np.full(len(n), top)
-    distance = np.zeros(len(n), np.int64)
-    for column in range(1, wide + 1):
-        live = int(np.searchsorted(-m, -column, "right"))  # texts that have this column
-        if not live:
-            break
-        same = np.zeros(live, np.uint64)
+    plus, minus = np.full(len(pair), full ^ top), np.full(len(pair), top)
+    distance = np.zeros(len(pair), np.int64)
+    least, column = int(n.min(initial=0)), 0
+    while True:
+        if column >= least or column % 8 == 0:  # take out what is decided
+            done = m <= column
+            out[pair[done]] = distance[done] <= edits
+            live = ~done & (distance <= 2 * edits)
+            if not live.all():
+                pair, n, m, row0, column0 = pair[live], n[live], m[live], row0[live], column0[live]
+                plus, minus, distance = plus[live], minus[live], distance[live]
+                least = int(n.min(initial=0))
+            if not len(pair):
+                return out
+        column += 1
+        letter = buffer[column0 + column]
+        place = row0 + column
+        same = np.zeros(len(pair), np.uint64)
         for k in range(2 * edits + 1):
-            row = column - edits + k - 1
-            if 0 <= row <= wide:
-                same |= (a[:live, row] == b[:live, column - 1]).astype(np.uint64) << np.uint64(k)
-        up, down = plus[:live], minus[:live]
-        diagonal = (((same & up) + up) ^ up) | same | down
-        right_up, right_down = down | ~(diagonal | up), up & diagonal
-        before = n[:live] >= column
-        distance[:live] += np.where(before, ((diagonal >> np.uint64(edits)) & one) == 0, False)
-        # Behind the pattern's end its last row is followed to the right.
-        bit = np.clip(n[:live] - column + edits, 0, 63).astype(np.uint64)
-        step = ((right_up >> bit) & one).astype(np.int64) - ((right_down >> bit) & one).astype(np.int64)
-        distance[:live] += np.where(before, 0, step)
-        plus[:live], minus[:live] = right_down | ~((diagonal >> one) | right_up), (diagonal >> one) & right_up
-    out = np.zeros(len(n), bool)
-    out[order] = (distance <= edits) & (m - n <= edits)
-    return out
+            same |= (buffer[place + k] == letter).astype(np.uint64) << np.uint64(k)
+        diagonal = (((same & plus) + plus) ^ plus) | same | minus
+        right_up, right_down = minus | ~(diagonal | plus), plus & diagonal
+        missed = ((diagonal >> np.uint64(edits)) & one) == 0
+        if column <= least:
+            distance += missed
+        else:  # behind the pattern's end its last row is followed to the right
+            bit = np.clip(n - column + edits, 0, 63).astype(np.uint64)
+            step = ((right_up >> bit) & one).astype(np.int64) - ((right_down >> bit) & one).astype(np.int64)
+            distance += np.where(column <= n, missed, step)
+        plus, minus = right_down | ~((diagonal >> one) | right_up), (diagonal >> one) & right_up
+
+
+def _middles(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """Both without their common beginning and end, which leaves their edit distance as it is."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    k = min(len(x), len(y))
+    differ = np.flatnonzero(x[:k] != y[:k])
+    begin = int(differ[0]) if len(differ) else k
+    k -= begin
+    differ = np.flatnonzero(x[len(x) - k :] != y[len(y) - k :])
+    end = k - 1 - int(differ[-1]) if len(differ) else k
+    return a[begin : len(a) - end], b[begin : len(b) - end]
 
 
-def connected(texts: list[bytes], edits: int) -> list[tuple[int, int]]:
-    """Links that connect all lines within ``edits`` of each other: a spanning forest."""
-    size = np.array([len(t) for t in texts])
-    left, links = np.argsort(size, kind="stable"), []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            own = queue.pop()
-            near = np.abs(size[left] - size[own]) <= edits
-            some = left[near]
-            hit = np.zeros(len(some), bool)
-            for at in range(0, len(some), 512):
-                part = some[at : at + 512].tolist()
-                pairs = [(texts[own], texts[i]) if size[own] <= size[i] else (texts[i], texts[own]) for i in part]
-                hit[at : at + 512] = within([p for p, _ in pairs], [t for _, t in pairs], edits)
-            links += [(own, int(i)) for i in some[hit]]
-            queue += some[hit].tolist()
-            keep = np.ones(len(left), bool)
-            keep[np.flatnonzero(near)[hit]] = False
-            left = left[keep]
+def within(patterns: list[bytes], texts: list[bytes], edits: int) -> np.ndarray:
+    """Whether each pattern, not longer than its text, is within ``edits`` byte edits of it."""
+    middles = [x for pair in zip(patterns, texts, strict=True) for x in _middles(*pair)]
+    at = np.arange(0, len(middles), 2)
+    return _distances(Packed(middles, edits), at, at + 1, edits)
+
+
+def connected(groups: list[list[bytes]], edits: int) -> list[tuple[int, int]]:
+    """Links that connect all lines of a group within ``edits`` of each other: a spanning forest.
+
+    Lines are numbered through all groups. Each round takes a line of every group and compares it with
+    those of its group that nothing is linked to yet."""
+    texts = [t for group in groups for t in group]
+    packed, links, ends = Packed(texts, edits), [], np.cumsum([len(g) for g in groups])
+    size = packed.sizes
+    states = []  # lines to compare with the rest, and the rest, shortest first
+    for group, end in zip(groups, ends.tolist(), strict=True):
+        rest = np.arange(end - len(group), end)
+        states.append(([], rest[np.argsort(size[rest], kind="stable")]))
+    while states:
+        asked, own, other = [], [], []
+        for queue, rest in states:
+            if not queue and len(rest):
+                queue.append(int(rest[0]))
+                rest = rest[1:]
+            if not len(rest):
+                continue
+            line = queue.pop()
+            first, last = np.searchsorted(size[rest], [size[line] - edits, size[line] + edits + 1])
+            asked.append((queue, rest, int(first), int(last)))
+            own.append(np.full(last - first, line))
+            other.append(rest[first:last])
+        if not asked:
+            break
+        mine, theirs = np.concatenate(own), np.concatenate(other)
+        swap = size[mine] > size[theirs]
+        pattern, text = np.where(swap, theirs, mine), np.where(swap, mine, theirs)
+        long = size[text] > LONG
+        hit = np.zeros(len(mine), bool)
+        hit[~long] = _distances(packed, pattern[~long], text[~long], edits)
+        at = np.flatnonzero(long)
+        for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[text[at]]) // CHUNK_BYTES)) + 1):
+            hit[part] = within([texts[i] for i in pattern[part]], [texts[i] for i in text[part]], edits)
+        links += zip(mine[hit].tolist(), theirs[hit].tolist(), strict=True)
+        states, at = [], 0
+        for queue, rest, first, last in asked:
+            found = hit[at : at + last - first]
+            at += last - first
+            states.append((queue + rest[first:last][found].tolist(), np.delete(rest, first + np.flatnonzero(found))))
     return links
 
 
 def _links_under(group: pd.DataFrame, edits: int) -> pd.DataFrame:
-    found = []
-    for _, rows in group.groupby("lead", sort=False):
-        rows = rows.drop_duplicates("class")
-        classes = rows["class"].to_numpy()
-        found += [(classes[i], classes[j]) for i, j in connected(rows["line"].tolist(), edits)]
+    """Links between the lines sent to one bucket, lead by lead."""
+    rows = group.drop_duplicates(["lead", "class"]).sort_values("lead", kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(rows["lead"].to_numpy()) != 0))
+    lines_ = rows["line"].tolist()
+    groups = [lines_[i:j] for i, j in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True)]
+    classes = rows["class"].to_numpy()
+    found = [(classes[i], classes[j]) for i, j in connected(groups, edits)]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 

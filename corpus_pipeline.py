@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that repeat an earlier one but for two edits; documents left without a line go."""
-    return _counted(linededup.drop_repeats(docs, "doc_id", "text"))
+    """Without lines that repeat an earlier one but for two edits; documents left with blank lines only go."""
+    return _counted(linededup.drop_repeats(docs, "doc_id", "text", least=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

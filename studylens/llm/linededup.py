@@ -7,9 +7,11 @@
 2. Under a lead, lines are compared by banded bit-parallel edit distance, many pairs at a time in numpy,
    until it is known which are connected. Lines already connected are not compared again.
 3. Links give components of lines. The first occurrence of a component (smallest document, then line) stays,
-   every later one goes. Shorter lines are never removed.
+   every later one goes. Only blank lines and lines shorter than ``least`` are never removed. With ``least=1``,
+   as the registered query and the pipeline have it, every line that is not blank takes part; its segments are
+   as short as it needs, down to none: lines of one or two bytes are all within two edits of each other.
 
-Defined cases: null and empty texts have no line to remove; blank lines stay; rows that agree in id and text
+Defined cases: null and empty texts have no line to remove; blank lines (spaces, tabs, ...) stay; rows that agree in id and text
 count as one document (all of them keep what it keeps); a null id comes before others; an empty
 table gives no rows; very long lines and texts are treated whole; other columns are not looked at by
 ``count_lines`` and are kept as they are by ``drop_repeats``. Lines are told apart by 64-bit hashes.
@@ -30,10 +32,10 @@ from ..operators.keyed import total_bytes
 from ..operators.materialize import materialize
 from .components import connected_components
 from .leads import met, route
-from .textbytes import CHUNK_BYTES, as_bytes, lines, mix, prefix_hash, slices, span_hash
+from .textbytes import CHUNK_BYTES, SPACE, as_bytes, lines, mix, prefix_hash, slices, span_hash
 
 EDITS = 2
-LEAST = 32  # bytes
+LEAST = 32  # bytes; 1 for all lines
 GROUP_LINES = 2_000
 LONG = 256  # bytes from which common beginnings and ends of two lines are taken off first
 BROADCAST_BYTES = 32 << 20
@@ -62,7 +64,7 @@ def segment_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits:
         for i, (at, size) in enumerate(segments(other, edits + 1)):
             behind = edits - i
             for shift in range(max(-i, less - behind), min(i, less + behind) + 1):
-                ok = (at + shift >= 0) & (at + shift + size <= length)
+                ok = (other > 0) & (at + shift >= 0) & (at + shift + size <= length)
                 begin = (starts + at + shift)[ok]
                 tag = mix(other[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i))
                 keys.append(mix(span_hash(sums, begin, begin + size[ok]) + tag))
@@ -202,11 +204,12 @@ def _links_under(group: pd.DataFrame, edits: int) -> pd.DataFrame:
 
 
 def _long_lines(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, ...]:
-    """(prefix hashes, starts, ends, document, line number, hash) of the lines that count."""
+    """(prefix hashes, starts, ends, document, line number, hash) of the lines that count, none of them blank."""
     data, offsets = as_bytes(part.column("text"))
     starts, ends, doc = lines(data, offsets)
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    keep = ends - starts >= least
+    ink = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    keep = (ends - starts >= least) & (ink[ends] > ink[starts])
     starts, ends = starts[keep], ends[keep]
     sums = prefix_hash(data)
     return sums, starts, ends, doc[keep], number[keep], span_hash(sums, starts, ends).view(np.int64)
@@ -214,8 +217,8 @@ def _long_lines(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, ...]:
 
 def line_components(table: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(class, component) of the lines of (text) that are linked with another; a class is a line's hash."""
-    if not 0 <= edits <= 20 or least < 4 * (edits + 1):
-        raise ValueError("segments must have 4 bytes or more, and edits be at most 20")
+    if not 0 <= edits <= 20 or least < 1:
+        raise ValueError("lines must have a byte or more, and edits be at most 20")
     spark = table.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -325,12 +328,12 @@ def count_lines(table: DataFrame, key: str, text: str, edits: int = EDITS, least
 
 
 def drop_repeats(table: DataFrame, key: str, text: str, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """The table with repeated lines taken out of the text; rows whose text goes completely are dropped."""
+    """The table with repeated lines taken out of the text; rows that lose all but blank lines are dropped."""
     names = table.columns
     own = F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row")
     rows = _with_removals(table.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"), own), edits, least)
     # JVM side: lines are numbered as split("\\n") gives them.
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (line, i) -> NOT array_contains(gone, CAST(i AS BIGINT))), '\\n')")
-    all_gone = F.col("gone").isNotNull() & (F.size("gone") == F.size(F.split("text", "\n", -1)))
-    rows = rows.filter(~F.coalesce(all_gone, F.lit(False))).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    rows = rows.filter(F.col("gone").isNull() | F.col("text").rlike("[^\\x09-\\x0D ]"))
     return rows.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names])

@@ -63,7 +63,7 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every document that repeat an earlier one but for two edits; see ``linededup``."""
-    return linededup.count_lines(_table(spark, sf, "documents"), "doc_id", "text")
+    return linededup.count_lines(_table(spark, sf, "documents"), "doc_id", "text", least=1)
 
 
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:

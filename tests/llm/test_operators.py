@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from pyspark.sql import functions as F
-from studylens.llm import jaccard, licenses, linededup, packing, pieces, quality, sharding, suffixes, topk, toxicity
+from studylens.llm import jaccard, licenses, linededup, packing, pieces, quality, queries, sharding, suffixes, topk, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 ODD = [(1, None), (2, ""), (None, "some words here"), (4, "  \n \t"), (5, "Zß☃ 日本 \x00 end"), (5, "Zß☃ 日本 \x00 end")]
@@ -220,6 +221,43 @@ def test_suffixes_equal_brute_force(spark, docs, monkeypatch, shard):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_lines_of_every_length_equal_brute_force(spark, docs, monkeypatch):
+    rng, texts = random.Random(12), []
+    pool = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.choice([1, 2, 4, 6, 9, 13, 20, 31, 40]))) for _ in range(60)]
+    for _ in range(40):
+        own = []
+        for line in rng.choices(pool, k=rng.randrange(1, 5)):
+            at = rng.randrange(len(line))
+            own.append(rng.choice([line, line, line[:at] + "x" + line[at + 1 :], line[:at] + line[at + 1 :], " " * rng.randrange(40)]))
+        texts.append("\n".join(own))
+    texts += [texts[0] + "\n\n", "Released under the MIT License.\n \n", "Released under the MIT License.\nAll rights reserved.", None, ""]
+    places = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if line.strip()]
+    root = list(range(len(places)))
+    for a in range(len(places)):
+        for b in range(a):
+            if root[a] != root[b] and edit_distance(places[a][2].encode(), places[b][2].encode()) <= 2:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    gone = {places[i][:2] for i, r in enumerate(root) if r != i}
+    left = {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)}
+    for group in (2_000, 3):  # also with leads dealt into blocks
+        monkeypatch.setattr(linededup, "GROUP_LINES", group)
+        got = {r.doc_id: r for r in linededup.count_lines(docs(list(enumerate(texts))), "doc_id", "text", least=1).collect()}
+        assert [got[i].n_removed for i in left] == [sum(i == d for d, _ in gone) for i in left]
+        assert [got[i].kept_sha256 for i in left] == [hashlib.sha256(t.encode()).hexdigest() for t in left.values()]
+    kept = {r.doc_id: r.text or "" for r in linededup.drop_repeats(docs(list(enumerate(texts))), "doc_id", "text", least=1).collect()}
+    assert kept == {i: t for i, t in left.items() if t.strip() or not any(i == d for d, _ in gone)}
+    assert {40, 41} - kept.keys() == {40}  # a whole copy goes, blank lines and all
+
+
+def test_query_and_stage_remove_short_lines(spark, docs, tmp_path):
+    rows = [(1, "All rights reserved.\nown"), (2, "other\nAll rights reserved."), (3, "own\n\nother")]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_removed for r in queries.op8_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 1, 3: 2}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs(rows), str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "other"}
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for _ in range(150):

@@ -1,15 +1,15 @@
-"""License scan by an exact set-similarity join of text blocks with license templates.
+"""License scan by an exact set-similarity join of windows of words with license templates.
 
-Blocks are lines (or whatever ``separator`` divides). A block matches a template when it holds at
-least ``threshold`` of the template's distinct words. The join works on sets of the templates' words
-only, since no other word can add to an overlap:
+A window is a run of consecutive words, over line breaks too, as long as the template divided by
+``threshold``; every run is looked at. It matches when it holds at least ``threshold`` of the template's
+distinct words, and what tells the template's license from similar ones (``DISTINGUISHING``): a window
+ends before an excluded word, and one of each group of required phrases must stand in it.
 
 * words are ordered by how often they occur in all texts, rarest first, counted by Spark;
-* a template is indexed under its first ``n - need + 1`` words: a block without any of them misses
-  at least ``n - need + 1`` words and cannot match (prefix filter);
-* a block with fewer known words than ``need`` cannot match (length filter);
-* once a shared word is found, the words behind it on either side bound what the overlap can
-  still become (positional filter); what passes is verified by counting.
+* a template is indexed under its first ``n - need + 1`` words: a window without any of them misses
+  at least ``n - need + 1`` words and cannot match (prefix filter), so only the surroundings of such
+  words are looked at;
+* what holds fewer of a template's words than needed cannot match; what passes is verified by counting.
 
 The templates are a fixed, small parameter and go to every task; texts are not shuffled.
 
@@ -54,6 +54,24 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# By template: groups of phrases of which one must stand in a window, and words that must not.
+OTHER_CC = "sa nd sharealike share noderivatives noderivs derivatives derivs"
+DISTINGUISHING = {
+    "Released under the MIT License.": ([("mit",)], ""),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": (
+        [("associated",), ("software",)], "",
+    ),
+    "Licensed under the Apache License, Version 2.0": ([("apache",), ("version 2", "license 2", "v2")], ""),
+    "Licensed under CC BY-NC 4.0.": ([("by nc",)], OTHER_CC),
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": (
+        [("creative commons",), ("attribution noncommercial", "attribution non commercial")], OTHER_CC,
+    ),
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": (
+        [("creative commons",), ("attribution",)], OTHER_CC + " noncommercial non commercial nc",
+    ),
+    "This work is licensed under the GNU General Public License, version 3.": ([("gnu",), ("version 3", "license 3", "v3")], "lesser library affero"),
+    "All rights reserved.": ([("rights reserved", "rights are reserved")], ""),
+}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -83,7 +101,13 @@ def word_counts(table: DataFrame, text: str, words: set[bytes]) -> dict[bytes, i
 class TemplateIndex:
     """Templates by the words of their prefixes."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], threshold: float, counts: Mapping[bytes, int]):
+    def __init__(
+        self,
+        templates: Sequence[tuple[str, str]],
+        threshold: float,
+        counts: Mapping[bytes, int],
+        distinguishing: Mapping[str, tuple[Sequence[Sequence[str]], str]] = DISTINGUISHING,
+    ):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must lie in (0, 1]")
         sets = [(label, set(words_of(text))) for label, text in templates]
@@ -99,6 +123,11 @@ class TemplateIndex:
             for place, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.index.setdefault(r, []).append((len(self.templates), place))
             self.templates.append((label, ranks, need))
+        self.sizes = [math.ceil(len(words_of(text)) / threshold - 1e-9) for _, text in templates]  # words of a window
+        self.rules = []  # phrases required, one of each group, and words excluded
+        for _, text in templates:
+            groups, excluded = distinguishing.get(text, ((), ""))
+            self.rules.append(([[b" %b " % b" ".join(words_of(p)) for p in g] for g in groups], set(words_of(excluded))))
         self.least = min(need for _, _, need in self.templates)
         triggers = sorted((known[r] for r in self.index), key=len, reverse=True)
         self.trigger = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(map(re.escape, triggers)) + rb")(?![0-9a-z\x80-\xff])")
@@ -122,6 +151,33 @@ class TemplateIndex:
                     found.append((number, overlap / len(theirs)))
         return sorted(found)
 
+    def windows(self, words: Sequence[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, template, share of its words) of the best windows, of a template none overlapping."""
+        ranks = [self.rank.get(w, -1) for w in words]
+        known, found = set(ranks), []
+        for number, (_, theirs, need) in enumerate(self.templates):
+            own = set(theirs)
+            if len(known & own) < need:
+                continue
+            size, (groups, excluded) = self.sizes[number], self.rules[number]
+            stops = [i for i, w in enumerate(words) if w in excluded]
+            fits = []
+            for i, r in enumerate(ranks):
+                if r not in own:
+                    continue
+                end = min([i + size, len(words), *(s for s in stops if s >= i)])
+                overlap = len(own.intersection(ranks[i:end]))
+                if overlap >= need:
+                    spelled = b" %b " % b" ".join(words[i:end])
+                    if all(any(p in spelled for p in g) for g in groups):
+                        fits.append((-overlap, i, end))
+            taken: list[tuple[int, int]] = []
+            for less, i, end in sorted(fits):
+                if all(end <= a or i >= b for a, b in taken):
+                    taken.append((i, end))
+                    found.append((i, number, -less / len(theirs)))
+        return sorted(found)
+
 
 def scan(
     table: DataFrame,
@@ -135,11 +191,13 @@ def scan(
     """(key, n_words, places, blocks) of every text.
 
     ``places``: (label, word) of each place where a phrase's words stand consecutively, word being
-    its first word's number. ``blocks``: (block, label, template, containment) of each match.
+    its first word's number. ``blocks``: (block, label, template, containment) of each match, block being
+    the number of the line (or whatever ``separator`` divides) in which its window begins.
     """
     templates, border = list(templates), separator.encode()
     counts = word_counts(table, text, {w for _, t in templates for w in words_of(t)})
     index = TemplateIndex(templates, threshold, counts)
+    reach = max(index.sizes)
     gap, edge = rb"[^0-9a-z\x80-\xff]+", rb"[0-9a-z\x80-\xff]"
     spelled = [(words_of(p), label) for p, label in phrases.items()]
     places_of = [
@@ -159,8 +217,9 @@ def scan(
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = as_bytes(part.column(text))
-                data = LOWER[data]
-                starts, _, doc = runs(IS_WORD[data], offsets)
+                data = np.insert(LOWER[data], offsets[1:], 10)  # texts stand side by side: a border behind each
+                offsets = offsets + np.arange(len(offsets))
+                starts, stops, doc = runs(IS_WORD[data], offsets)
                 first = np.searchsorted(doc, np.arange(len(offsets)))
                 whole = data.tobytes()
                 places: list[list] = [[] for _ in range(part.num_rows)]
@@ -173,13 +232,15 @@ def scan(
                         for m in phrase.finditer(own):
                             word = int(np.searchsorted(starts, offsets[d] + m.start())) - int(first[d])
                             places[d].append({"label": label, "word": word})
-                # Texts stand side by side here, so a trigger at a border may be missed by its edges.
-                near = np.concatenate([hits, _at_borders(whole, offsets, index.trigger)])
-                for d in np.unique(np.searchsorted(offsets, near, "right") - 1).tolist():
-                    for number, block in enumerate(whole[offsets[d] : offsets[d + 1]].split(border)):
-                        if index.trigger.search(block):
-                            for t, share in index.match(pattern.findall(block)):
-                                blocks[d].append({"block": number, "label": index.templates[t][0], "template": t, "containment": share})
+                hit = np.searchsorted(starts, hits)
+                low, high = np.maximum(hit - reach + 1, first[doc[hit]]), np.minimum(hit + reach, first[doc[hit] + 1])
+                new = np.flatnonzero(np.append(True, low[1:] >= high[:-1])) if len(hit) else hit  # surroundings that do not touch
+                for a, b in zip(low[new].tolist(), high[np.append(new[1:], len(hit)) - 1].tolist() if len(hit) else [], strict=True):
+                    d = int(doc[a])
+                    near = [whole[i:j] for i, j in zip(starts[a:b].tolist(), stops[a:b].tolist(), strict=True)]
+                    for at, t, share in index.windows(near):
+                        block = whole.count(border, int(offsets[d]), int(starts[a + at]))
+                        blocks[d].append({"block": block, "label": index.templates[t][0], "template": t, "containment": share})
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key), pa.array(np.diff(first), pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)],
                     names=[key, "n_words", "places", "blocks"],
@@ -188,19 +249,10 @@ def scan(
     return table.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
-def _at_borders(whole: bytes, offsets: np.ndarray, trigger: re.Pattern) -> np.ndarray:
-    """Starts of texts whose first or last word is a trigger."""
-    found = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        if b > a and (trigger.match(whole[a : min(b, a + 64)]) or trigger.search(whole[max(a, b - 64) : b])):
-            found.append(a)
-    return np.array(found, np.int64)
-
-
 def document_labels(scanned: DataFrame, key: str) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) from ``scan``.
 
-    The score is the greatest share of a template found in a block, 1 where a phrase stands."""
+    The score is the greatest share of a template found in a window, 1 where a phrase stands."""
     base, found = F.col("places.label"), F.col("blocks.label")
     return scanned.select(
         F.col(f"`{key}`"),

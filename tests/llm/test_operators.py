@@ -111,6 +111,36 @@ def test_licenses(spark, docs):
         assert [t for t, _ in index.match(block)] == brute
 
 
+def test_licenses_in_windows(spark, docs):
+    by = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    nc = by.replace("Attribution", "Attribution-NonCommercial")
+    mit = licenses.TEMPLATES[1][1].split()
+    bsd = licenses.TEMPLATES[7][1].split()
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    want = {
+        "Copyright X\n\n" + " ".join(mit[:13]) + "\n" + " ".join(mit[13:]) + " (the S)": "mit",
+        "\n * ".join(bsd): "bsd",
+        "Released under the Apache License.": "",
+        by: "cc-by",
+        nc: "cc-by-nc",
+        f"{by}\nNoncommercial use is dear to us.": "cc-by",
+        f"{by} {nc}": "cc-by,cc-by-nc",
+        nc.replace("Commercial", "Commercial-ShareAlike"): "",
+        gpl: "gpl-3",
+        gpl.replace("3", "2") + " See section 3.": "",
+        gpl.replace("General", "Lesser General"): "",
+        "the mit " + "word " * 30 + "license " + "word " * 30 + "released under": "",
+        "all " + "word " * 9 + "rights " + "word " * 9 + "reserved": "",
+        "All\nrights\nreserved": "all-rights-reserved",
+        "reserved": "", "all rights": "", "released under the": "", "mit license": "", None: "", "": "",
+    }
+    texts = list(want)
+    scanned = licenses.scan(docs(list(enumerate(texts)), 1), "doc_id", "text")
+    got = {r.doc_id: r.labels for r in licenses.document_labels(scanned, "doc_id").collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == want
+    assert [(b.block, b.containment) for b in scanned.filter("doc_id = 0").first().blocks] == [(2, 1.0)]
+
+
 def brute_components(texts, size, percent):
     sets = []
     for t in texts:

@@ -9,9 +9,10 @@ another text, is removed. Strings are judged on the input.
 2. The surroundings of the other anchors (everything a repeat through them can cover) are dealt into shards
    by anchor hash. A shard builds a suffix array by Larsson-Sadakane refinement and the common
    prefixes of neighbours by Kasai's rule, both in numpy; neighbours that share ``length`` bytes are repeats.
-3. An anchor hash with too many places for one shard is dealt into several. What these find is merged: each
-   shard hands on the sorted hashes of its strings, cut into ranges, and strings of one shard are looked up
-   in the others by binary search.
+3. An anchor hash with too many places for one shard is dealt into several parts. Each part hands on every
+   distinct string once, with its least and greatest place; an aggregation, combined map-side, finds the
+   strings with two places or more. Only strings that a part has once carry their place and are joined with
+   these, so a string takes at most one row a part however many texts hold it.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a text that
 occurs twice or more, repeated rows among them, goes completely if it has ``length`` bytes; an empty table
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import total_bytes
 from ..operators.materialize import materialize
-from .textbytes import as_bytes, prefix_hash, slices, span_hash
+from .textbytes import as_bytes, mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 64
@@ -211,8 +212,8 @@ def _merge(starts: np.ndarray, ends: np.ndarray, groups: np.ndarray) -> tuple[np
     return starts[new], reach[last] - groups[new] * span, groups[new]
 
 
-def _search_shard(rows: pd.DataFrame, length: int, ranges: int) -> pd.DataFrame:
-    """Repeated intervals within one shard; for a part of a split anchor, also its strings' hashes."""
+def _search_shard(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Repeated intervals within one shard; for a part of a split anchor, also its distinct strings."""
     texts, of = np.unique(np.stack([rows["k1"], rows["k2"]], axis=1), axis=0, return_inverse=True)
     of = of.ravel()
     pieces = [np.frombuffer(s, np.uint8) for s in rows["segment"]]
@@ -237,42 +238,34 @@ def _search_shard(rows: pd.DataFrame, length: int, ranges: int) -> pd.DataFrame:
     places = starts[which] + hit - base[which]
     if len(hit):
         s, e, g = _merge(places, places + length, owner[which])
-        out.append(pd.DataFrame({"k1": texts[g, 0], "k2": texts[g, 1], "start": s, "end": e, "h": None, "range": None, "hashes": None, "places": None}))
+        out.append(pd.DataFrame({"k1": texts[g, 0], "k2": texts[g, 1], "start": s, "end": e}))
     if bool(rows["split"].iloc[0]):
         at = np.flatnonzero(valid)
         value = span_hash(prefix_hash(data), at, at + length)
-        order = np.argsort(value)
-        at, value = at[order], value[order]
         which = np.searchsorted(base, at, "right") - 1
-        record = np.zeros(len(at), [("k1", "<i8"), ("k2", "<i8"), ("start", "<i8")])
-        record["k1"], record["k2"] = texts[owner[which]].T
-        record["start"] = starts[which] + at - base[which]
-        cuts = np.searchsorted(value, np.array([i * (1 << 64) // ranges for i in range(1, ranges)], np.uint64))
-        for r, (v, p) in enumerate(zip(np.split(value, cuts), np.split(record, cuts), strict=True)):
-            if len(v):
-                h = int(rows["h"].iloc[0])
-                out.append(pd.DataFrame({"k1": None, "k2": None, "start": None, "end": None, "h": [h], "range": [r], "hashes": [v.tobytes()], "places": [p.tobytes()]}))
-    columns = ["k1", "k2", "start", "end", "h", "range", "hashes", "places"]
-    return (pd.concat(out) if out else pd.DataFrame(columns=columns)).astype({c: "Int64" for c in (*columns[:6],)})
-
-
-def _search_across(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Strings of one range of hashes that occur in two parts of a split anchor or more."""
-    parts = [np.frombuffer(h, "<u8") for h in rows["hashes"]]
-    kinds = [("k1", "<i8"), ("k2", "<i8"), ("start", "<i8")]
-    places = [np.frombuffer(p, kinds) for p in rows["places"]]
-    single = [np.unique(p) for p in parts]
-    merged, met = np.unique(np.concatenate(single), return_counts=True)
-    shared = merged[met > 1]  # sorted, so each part is searched by bisection
-    out = []
-    for values, place in zip(parts, places, strict=True):
-        at = np.searchsorted(shared, values)
-        hit = place[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == values)] if len(shared) else place[:0]
-        if len(hit):
-            texts, of = np.unique(np.stack([hit["k1"], hit["k2"]], axis=1), axis=0, return_inverse=True)
-            s, e, g = _merge(hit["start"], hit["start"] + length, of.ravel())
-            out.append(pd.DataFrame({"k1": texts[g, 0], "k2": texts[g, 1], "start": s, "end": e}))
-    return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("k1", "k2", "start", "end")})
+        k1, k2 = texts[owner[which]].T.astype(np.int64)
+        start = starts[which] + at - base[which]
+        place = mix(mix(mix(k1.view(np.uint64)) + k2.view(np.uint64)) + start.astype(np.uint64)).view(np.int64)
+        order = np.lexsort((place, value))
+        value, place = value[order].view(np.int64), place[order]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else order
+        last = np.append(first[1:], len(value))[: len(first)] - 1
+        one = order[first]
+        many = pd.DataFrame({"k1": k1[one], "k2": k2[one], "start": start[one]}).astype("Int64")
+        many[first != last] = pd.NA  # found here, so its places stay here
+        own = rows[["h", "shard"]].iloc[0]
+        out.append(many.assign(h=own["h"], shard=own["shard"], v=value[first], low=place[first], high=place[last]))
+    columns = ["k1", "k2", "start", "end", "h", "shard", "v", "low", "high"]
+    found = pd.concat([frame.astype({"k1": "Int64", "k2": "Int64", "start": "Int64"}) for frame in out]) if out else pd.DataFrame()
+    return found.reindex(columns=columns).astype({c: "Int64" for c in columns if c != "shard"} | {"shard": "object"})
+
+
+def _merge_part(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Intervals of the places of one part."""
+    texts, of = np.unique(np.stack([rows["k1"], rows["k2"]], axis=1), axis=0, return_inverse=True)
+    start = rows["start"].to_numpy(np.int64)
+    s, e, g = _merge(start, start + length, of.ravel())
+    return pd.DataFrame({"k1": texts[g, 0], "k2": texts[g, 1], "start": s, "end": e})
 
 
 def repeats(table: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +304,7 @@ def repeats(table: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     shards = max(1, -(-total // most))
     part = F.pmod(F.xxhash64("k1", "k2", "pos"), parts)
     shard = F.when(parts > 1, F.concat_ws("-", "h", part)).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("string"))
-    wanted = placed.select("doc", "k1", "k2", F.struct("pos", "h", (parts > 1).alias("split"), shard.alias("shard"), parts.alias("parts")).alias("p"))
+    wanted = placed.select("doc", "k1", "k2", F.struct("pos", "h", (parts > 1).alias("split"), shard.alias("shard")).alias("p"))
     wanted = wanted.groupBy("k1", "k2").agg(F.first("doc").alias("_doc"), F.collect_list("p").alias("p"))  # as many as the text has anchors
     wanted = materialize(wanted.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "_doc", "p"), "suffix-wanted")
     ids = wanted.select(F.col("_1").alias("_k1")).distinct()
@@ -337,18 +330,21 @@ def repeats(table: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
                     segment = pa.array([raw[i:j] for i, j in zip(a, b, strict=True)], pa.binary())
                     take = pa.array(doc[some])
                     arrays = [one.column("k1").take(take), one.column("k2").take(take), pa.array(begin[some]), segment]
-                    arrays += [pc.struct_field(flat, c).slice(at, len(a)) for c in ("h", "split", "shard", "parts")]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "start", "segment", "h", "split", "shard", "parts"])
+                    arrays += [pc.struct_field(flat, c).slice(at, len(a)) for c in ("h", "split", "shard")]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "start", "segment", "h", "split", "shard"])
 
     segments = matched.select("text", "k1", "k2", "p").mapInArrow(
-        cut, "k1 long, k2 long, start long, segment binary, h long, split boolean, shard string, parts int"
+        cut, "k1 long, k2 long, start long, segment binary, h long, split boolean, shard string"
     )
-    schema = "k1 long, k2 long, start long, end long, h long, range long, hashes binary, places binary"
-    searched = segments.groupBy("shard").applyInPandas(lambda g: _search_shard(g, length, int(g["parts"].iloc[0]) if bool(g["split"].iloc[0]) else 1), schema)
-    searched = materialize(searched, "suffix-found")
-    across = searched.filter("range IS NOT NULL").select("h", "range", "hashes", "places")
-    across = across.groupBy("h", "range").applyInPandas(lambda g: _search_across(g, length), "k1 long, k2 long, start long, end long")
-    intervals = searched.filter("range IS NULL").select("k1", "k2", "start", "end").unionByName(across)
+    schema = "k1 long, k2 long, start long, end long, h long, shard string, v long, low long, high long"
+    searched = materialize(segments.groupBy("shard").applyInPandas(lambda g: _search_shard(g, length), schema), "suffix-found")
+    strings = searched.filter("v IS NOT NULL")
+    again = strings.groupBy("h", "v").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    again = again.select(F.col("h").alias("_h"), F.col("v").alias("_v"))  # one row a string
+    alone = strings.filter("k1 IS NOT NULL").join(again, (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v")))
+    alone = alone.select("shard", "k1", "k2", "start")  # at most the places of a part in a group
+    across = alone.groupBy("shard").applyInPandas(lambda g: _merge_part(g, length), "k1 long, k2 long, start long, end long")
+    intervals = searched.filter("v IS NULL").select("k1", "k2", "start", "end").unionByName(across)
     # As many intervals as the text's anchors give.
     merged = intervals.groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return texts, merged

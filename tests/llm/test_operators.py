@@ -251,6 +251,25 @@ def test_suffixes_equal_brute_force(spark, docs, monkeypatch, shard):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_split_anchors_send_a_string_once_a_part(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1200)  # 10 places a part
+    written = {}
+    keep = suffixes.materialize
+    monkeypatch.setattr(suffixes, "materialize", lambda table, name: written.setdefault(name, keep(table, name)))
+    rng = random.Random(3)
+    passage, gram = words(rng, 25), "".join(rng.choice("abcdefgh") for _ in range(20))
+    texts = [f"{i} {words(rng, 5)} {passage} {words(rng, 5)}" for i in range(120)]
+    # One gram twice in a text, in other parts too: the same place seen from two parts is no repeat.
+    texts += [f"{words(rng, 15)}{gram}{i}{words(rng, 4)}{gram}{words(rng, 15)}" for i in range(60)]
+    got = {r.doc_id: r for r in suffixes.spans(docs(list(enumerate(texts))), "doc_id", "text", 64, 16).collect()}
+    gone = removed([t.encode() for t in texts], 64)
+    assert [got[i].n_removed for i in range(len(texts))] == [int(g.sum()) for g in gone]
+    sent = written["suffix-found"].filter("v IS NOT NULL").toPandas()
+    assert sent["shard"].nunique() > 10 and not sent.duplicated(["shard", "v"]).any()
+    inside = sent["low"] < sent["high"]  # found repeated in the part: no place is sent
+    assert inside.any() and sent[inside]["k1"].isna().all() and sent[~inside]["k1"].notna().all()
+
+
 def test_lines_of_every_length_equal_brute_force(spark, docs, monkeypatch):
     rng, texts = random.Random(12), []
     pool = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.choice([1, 2, 4, 6, 9, 13, 20, 31, 40]))) for _ in range(60)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, linededup, packing, pieces, quality, sharding, suffixes, topk, toxicity
+from . import jaccard, licenses, linededup, packing, pieces, quality, sharding, suffixes, tokenstore, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,10 +83,19 @@ def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.spans(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Place and digest of every document's ids, read back from files of compressed ids; see ``tokenstore``."""
+    store = tokenstore.write(_table(spark, sf, "documents"), "doc_id", "text", _tokenizer("byte_bpe_50k.json"))
+    return tokenstore.read(store, with_ids=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op8_lines, op9_sharding, op10_suffixes)
-}
+    for f in (
+        op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op8_lines, op9_sharding, op10_suffixes,
+        op13_token_files,
+    )
+}
 
 ORACLES = {
     "op5_topk": """

@@ -14,8 +14,7 @@ A file: magic, width of an id in bytes (1 byte), SHA-256 of the dictionary (32 b
 then, little-endian in 8 bytes each, the offset of every frame and of the end of the last,
 the number of frames, and the magic again. So a file can also be read without the index.
 
-The text goes through the ``tokenizers`` library in chunks between white space, each distinct chunk
-once, where the file's kind of tokenizer cannot tell the difference; else whole.
+Ids are those of the ``tokenizers`` library for the file given; see ``ByteCodec`` for how they are found.
 
 The folder's scheme must be one that pyarrow can write (local or mounted, hdfs, s3, gs).
 
@@ -38,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -57,18 +57,27 @@ LEVEL = 3
 FILE_BYTES = 32 << 20  # frames in a file
 LEAST_FILE_BYTES = 1 << 20  # for the sake of parallel work, small stores have smaller files
 READ_BYTES = 8 << 20
-CACHE_CHUNKS = 200_000
-CHUNK_CHARS = 64  # longer chunks are not kept
 _INDEX = "shard int, file string, nth long, offset long, size long, local long, n_tokens long"
 
-# White space as the pattern of byte-level tokenizers knows it.
-_SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-# No token reaches from one of these into the next: a run of white space leaves its last character to what follows.
-_CHUNK = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+# Fixed value: how byte-level files of this kind split a text before merging.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each printable stand-in of byte-level vocabularies means."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class ByteCodec:
-    """Ids of texts under one ``tokenizers`` file."""
+    """Ids of texts under one ``tokenizers`` file.
+
+    A plain byte-level file, in which every token is a byte or comes from a merge and later merges make
+    larger ids, is also a table of ranks; ``tiktoken`` merges those several times faster. Texts
+    that spell a special token go through the file's own library, and so does the first text of every
+    call, as a check: should the two ever differ, the library encodes the whole call.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -78,30 +87,35 @@ class ByteCodec:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        before, model = spec["pre_tokenizer"] or {}, spec["model"]
-        self.by_chunk = (
-            not spec["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-            and not before.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
-        )
         self.special = tuple(t["content"] for t in spec["added_tokens"])
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ranks = None if spec["normalizer"] else self._ranks(spec["pre_tokenizer"] or {}, spec["model"])
+        self.fast = ranks and tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ranks(self, before: dict, model: dict) -> dict[bytes, int] | None:
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if not plain or model["type"] != "BPE" or any(model.get(o) for o in odd):
+            return None
+        stands = byte_characters()
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        ids = [vocab.get(t, -1) for t in merged]
+        if vocab.keys() != stands.keys() | set(merged) or ids != sorted(set(ids)) or min(ids, default=0) < 0:
+            return None
+        return {bytes(stands[c] for c in t): i for t, i in vocab.items()}
+
+    def _by_library(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Serialized ids of each text."""
-        split = [_CHUNK.findall(t) if self.by_chunk and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        new = list(set().union(*(s for s in split if s is not None)).difference(self.cache))
-        self.cache.update(zip(new, self._ids(new), strict=True))
-        known = self.cache.__getitem__
-        found = [self._ids([t])[0] if s is None else b"".join(map(known, s)) for t, s in zip(texts, split, strict=True)]
-        for chunk in new:
-            if len(chunk) > CHUNK_CHARS:
-                del self.cache[chunk]
-        return found
+        if not self.fast or not texts:
+            return self._by_library(texts)
+        found = [
+            self._by_library([t])[0] if any(s in t for s in self.special) else np.array(self.fast.encode_ordinary(t), self.kind).tobytes()
+            for t in texts
+        ]
+        return found if found[0] == self._by_library(texts[:1])[0] else self._by_library(texts)
 
 
 _codecs: dict[str, ByteCodec] = {}
@@ -141,8 +155,13 @@ def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
 
 def train(table: DataFrame, key: str, text: str, path: str, end_id: int = 0, size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary for the ids of short documents; empty where there is nothing to learn from."""
-    texts = table.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    sample = texts.filter(F.octet_length("t") <= SAMPLE_BYTES).orderBy("h").limit(SAMPLE_DOCUMENTS)
+    texts = table.select(
+        F.xxhash64(F.col(f"`{key}`"), F.monotonically_increasing_id()).alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")
+    )
+    # About three times as many as are taken, so that what meets in one task doesn't grow with the table.
+    share = min(1.0, 3 * SAMPLE_DOCUMENTS / max(1, table.count()))
+    few = texts.filter((F.octet_length("t") <= SAMPLE_BYTES) & (F.col("h") <= int(share * 2**64) - 2**63 - 1))
+    sample = few.orderBy("h").limit(SAMPLE_DOCUMENTS)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -40,13 +40,25 @@ def rows_of(table):
     return [tuple(r)[:4] for r in table.orderBy("start").collect()]
 
 
-def test_chunks_give_the_ids_of_the_library(path, library):
+def test_codec_gives_the_ids_of_the_library(path, library):
     own, rng = tokenstore.ByteCodec(path), random.Random(1)
     signs = [*"ab  the\n\tZ9é\x1c\x1f　 ☃\x00'.,日本語😀\x85", "<|endoftext|>", "'s ", " ing", "  "]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["a" * 3000, " " * 300, ""]
     for t, raw in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(raw, own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
-    assert all(len(c) <= tokenstore.CHUNK_CHARS for c in own.cache)
+    assert own.fast
+    # Every token of the vocabulary, and every character of the Basic Multilingual Plane between others.
+    every = [library.decode([i]) for i in range(library.get_vocab_size())]
+    every += [f"a{chr(c)}b {chr(c)}1  {chr(c)}x" for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 10_000):
+        part = every[at : at + 10_000]
+        assert own.encode(part) == own._by_library(part)
+
+
+def test_other_kinds_of_files_go_through_the_library():
+    own = tokenstore.ByteCodec(P.path("word_bpe_49k.json"))
+    assert not own.fast
+    assert np.frombuffer(own.encode(["Some Words"])[0], own.kind).tolist() == own.library.encode("Some Words", add_special_tokens=False).ids
 
 
 def test_store_equals_brute_force(spark, docs, path, library):

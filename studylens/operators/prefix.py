@@ -14,9 +14,13 @@ ROWS_PER_RANGE = 50_000
 
 
 def ranged(table: DataFrame, keys: Sequence[str], ranges: int, name: str) -> DataFrame:
-    """The table, written down in ``ranges`` ranges of the keys, each sorted; ``_range`` numbers them in key order."""
+    """The table, written down in ``ranges`` ranges of the keys, each sorted.
+
+    ``_range`` numbers the ranges in key order, ``_at`` the rows of each.
+    """
     dealt = table.repartitionByRange(max(1, ranges), *keys).sortWithinPartitions(*keys)
-    return materialize(dealt.withColumn("_range", F.spark_partition_id()), name)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", at), name)
 
 
 def running_total(table: DataFrame, keys: Sequence[str], value: str, name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

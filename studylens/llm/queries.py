@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, linededup, merkle, packing, pieces, quality, sharding, suffixes, tokenstore, topk, toxicity
+from . import jaccard, licenses, linededup, merkle, packing, pieces, quality, sharding, suffixes, tokenstore, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.spans(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sound vector on the 8 leading components of all; see ``whitening``."""
+    return whitening.whiten(_table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
+
+
 def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     """Leaf, proof and root of every document, and whether rows that were tampered with still lead there; see ``merkle``."""
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -102,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_licenses, op3_pieces, op4_packing, op5_topk, op6_jaccard, op7_quality, op8_lines, op9_sharding, op10_suffixes,
-        op12_merkle, op13_token_files,
+        op11_whitening, op12_merkle, op13_token_files,
     )
 }
 

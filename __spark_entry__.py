@@ -83,6 +83,70 @@ def _anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return sl.detect_anomalies(_visits(spark, sf)).select("row_index", *NUMBERS, "anomaly")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return sl.detect_anomalies(_visits(spark, sf))
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _visits_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Visit records from one CSV file to the report in one CSV file; the report read back, with its counts."""
+    folder = _own_folder(spark, "visits")
+    records = view(spark, sf, "visit_records").orderBy("row_index").drop("row_index")
+    sl.write_one_csv(records, f"{folder}/visits.csv")
+    report = sl.run_visits(spark, f"{folder}/visits.csv", f"{folder}/reports")
+    counts = f"{report.total_records}L AS total_records", f"{report.flagged_records}L AS flagged_records"
+    return sl.read_table(spark, report.path).selectExpr("*", *counts)
+
+
+def _dm_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Demographics from two CSV files, read by name: other columns in another order, line breaks in cells."""
+    folder, dm = _own_folder(spark, "dm"), view(spark, sf, "sdtm_dm").orderBy("row_index")
+    even = dm.filter("row_index % 2 = 0").select("STUDYID", "USUBJID", "SEX", "AGE")
+    odd = dm.filter("row_index % 2 = 1").selectExpr("SEX", "concat('seen\nby ', USUBJID, ', \"MD\"') AS NOTE", "USUBJID", "STUDYID")
+    sl.write_one_csv(even, f"{folder}/a.csv")
+    sl.write_one_csv(odd, f"{folder}/b.csv")
+    return sl.read_domain(spark, folder, multi_line=True, by_name=True)
+
+
+def _visits_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{_own_folder(spark, 'visits')}/visits.csv"
+    sl.write_one_csv(view(spark, sf, "visit_records").orderBy("row_index").drop("row_index"), path)
+    return sl.load_data(spark, path)
+
+
+def _findings_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{_own_folder(spark, 'findings')}/findings.csv"
+    sl.write_findings_csv(_all_findings(spark, sf), path, one_file=True)
+    return sl.read_table(spark, path)
+
+
+def _report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the rule flags alone, from its file, with the counts taken while it was written."""
+    report = sl.write_report(_visits(spark, sf), _own_folder(spark, "reports"), one_file=True)
+    counts = f"{report.total_records}L AS total_records", f"{report.flagged_records}L AS flagged_records"
+    return sl.read_table(spark, report.path).selectExpr("*", *counts)
+
+
+def _few_visits(spark: SparkSession, sf: str) -> DataFrame:
+    """A visit for each order priority, too few for outliers."""
+    fields = "o_orderpriority, max(o_totalprice) AS o_totalprice, max(o_custkey) AS o_custkey, max(o_orderkey) AS n, max(o_orderdate) AS o_orderdate"
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders_of_few_visits")
+    few = spark.sql(f"SELECT {fields} FROM orders_of_few_visits GROUP BY o_orderpriority")
+    return sl.detect_anomalies(sl.apply_rules(few.selectExpr(*_FEW_VISITS))).select("row_index", *NUMBERS, "anomaly")
+
+
+_FEW_VISITS = [
+    "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS row_index",
+    "CAST(o_custkey % 120 AS STRING) AS age",
+    "CAST(CAST(floor(o_totalprice / 2000) AS INT) AS STRING) AS systolic_bp",
+    "CASE WHEN n % 2 = 0 THEN 'n/a' ELSE CAST(n % 200 AS STRING) END AS treatment_dose",
+    "substr(CAST(o_orderdate AS STRING), 1, 10) AS visit_date",
+]
+
+
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The AE rules over the events table read as a stream, to its end."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -206,6 +270,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "visit_report_summary": lambda spark, sf: sl.summary(_visits(spark, sf)),
         "report_preview": lambda spark, sf: sl.preview(_visits(spark, sf)),
         "visit_anomalies": _anomalies,
+        "visit_anomalies_few_rows": _few_visits,
+        "visit_flagged": lambda spark, sf: sl.flagged(_judged(spark, sf)),
+        "visit_summary": lambda spark, sf: sl.summary(_judged(spark, sf)),
+        "visits_pipeline": _visits_pipeline,
+        "report_roundtrip": _report_file,
+        "csv_domain_roundtrip": _dm_files,
+        "csv_visits_load": _visits_loaded,
+        "findings_csv_roundtrip": _findings_file,
         "file_row_index": _row_index,
         "djson_structure_findings": lambda spark, sf: sl.DatasetJson(_faulty_documents(spark, sf)).validate_top_level(),
         "djson_list_itemgroups": lambda spark, sf: sl.DatasetJson(_all_documents(spark, sf))
@@ -441,10 +513,11 @@ def _codelist_sql() -> str:
     return _with(list(CODED_FIELDS), " UNION ALL ".join(parts))
 
 
-def _flags_cte() -> str:
+def _flags_cte(source: str | None = None) -> str:
+    """``flags``: the visit records, or those of ``source``, with numbers and flags."""
     whole = "CASE WHEN regexp_full_match(age, '[+-]?[0-9]+') THEN TRY_CAST(age AS BIGINT) END"
     return (
-        f"visit_records AS ({view_sql('visit_records')}), nums AS (SELECT *, {whole} AS age_num,"
+        f"visit_records AS ({source or view_sql('visit_records')}), nums AS (SELECT *, {whole} AS age_num,"
         f" {_n('systolic_bp')} AS systolic_bp_num, {_n('treatment_dose')} AS treatment_dose_num FROM visit_records),"
         " flags AS (SELECT *, CASE WHEN age_num BETWEEN 18 AND 100 THEN 1 ELSE 0 END AS age_valid,"
         " CASE WHEN systolic_bp_num BETWEEN 90 AND 180 THEN 1 ELSE 0 END AS bp_valid,"
@@ -453,6 +526,58 @@ def _flags_cte() -> str:
     )
 
 
+def _forest_cte() -> str:
+    """``judged``: the visits with ``anomaly``, by the forest's own draws repeated here; needs 256 visits or more."""
+    levels, starts, ring = 8, 10, 2**52 // 10 * 10
+    step = ring // starts
+
+    def drawn(text: str, first: str) -> str:
+        return f"('0x' || substr(md5({text}), {first}, 13))::BIGINT"
+
+    def finite(c: str) -> str:
+        return f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END"
+
+    filled = ", ".join(f"coalesce({finite(c)}, (SELECT median({finite(c)}) FROM flags), 0) AS {c}" for c in NUMBERS)
+    ranges = ", ".join(f"{{'i': {i}, 'low': min(x[{i}]) OVER w, 'high': max(x[{i}]) OVER w}}" for i in (1, 2, 3))
+    ctes = [
+        f"filled AS MATERIALIZED (SELECT row_index, {filled} FROM flags)",
+        f"points AS (SELECT row_index, [{', '.join(NUMBERS)}] AS x FROM filled)",
+        f"""hashed AS (SELECT row_index, x, g, {drawn("'42:' || (g // 2) || ':' || row_index", "1 + 13 * (g % 2)")} % {ring} AS h
+ FROM points, range({starts}) groups(g))""",
+        f"""moved0 AS MATERIALIZED (SELECT {starts} * g + j AS tree, x, 1::BIGINT AS node FROM hashed, range({starts}) s(j)
+ QUALIFY row_number() OVER (PARTITION BY g, j ORDER BY (h - j * {step} + {ring}) % {ring}, row_index) <= 256)""",
+    ]
+    for k in range(levels):
+        ctes += [
+            f"""ranged{k} AS (SELECT tree, x, node, count(*) OVER w AS n, [{ranges}] AS r, md5('42:' || tree || ':' || node) AS m
+ FROM moved{k} WINDOW w AS (PARTITION BY tree, node))""",
+            f"usable{k} AS (SELECT *, [q FOR q IN r IF q.high > q.low] AS u FROM ranged{k})",
+            f"""picked{k} AS (SELECT *, CASE WHEN len(u) > 0 THEN u[('0x' || substr(m, 1, 13))::BIGINT % len(u) + 1] END AS p,
+ ('0x' || substr(m, 14, 13))::BIGINT / {2**52}::DOUBLE AS share FROM usable{k})""",
+            f"split{k} AS MATERIALIZED (SELECT tree, x, node, n, p.i AS feature, p.low + share * (p.high - p.low) AS border FROM picked{k})",
+            f"""moved{k + 1} AS MATERIALIZED (SELECT tree, x,
+ CASE WHEN feature IS NULL THEN node ELSE 2 * node + (x[feature] > border)::INTEGER END AS node FROM split{k})""",
+        ]
+    nodes = [f"SELECT DISTINCT tree, node, n, feature, border FROM split{k}" for k in range(levels)]
+    nodes.append(f"SELECT tree, node, count(*) AS n, NULL AS feature, NULL AS border FROM moved{levels} WHERE node >= {2**levels} GROUP BY tree, node")
+    ctes.append(f"nodes AS MATERIALIZED ({' UNION '.join(nodes)})")
+    ctes.append("walk0 AS (SELECT row_index, x, tree, 1::BIGINT AS node FROM points, range(100) t(tree))")
+    for k in range(levels):
+        ctes.append(
+            f"""walk{k + 1} AS (SELECT row_index, x, w.tree, CASE WHEN feature IS NULL THEN w.node ELSE 2 * w.node + (x[feature] > border)::INTEGER END AS node
+ FROM walk{k} w LEFT JOIN nodes USING (tree, node))"""
+        )
+    mean = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n WHEN n = 2 THEN 1 ELSE 0 END"
+    ctes += [
+        f"""paths AS (SELECT row_index, sum(CAST(round((length(bin(node)) - 1 + {mean}) * {2**20}) AS BIGINT)) AS path
+ FROM walk{levels} LEFT JOIN nodes USING (tree, node) GROUP BY row_index)""",
+        "ranked AS (SELECT path, row_number() OVER (ORDER BY path DESC) - 1 AS place, count(*) OVER () AS total FROM paths)",
+        "cut AS (SELECT path AS least FROM ranked WHERE place = (total - 1) * 9 // 10)",
+        "judged AS (SELECT flags.*, CASE WHEN path < least THEN 1 ELSE 0 END AS anomaly FROM flags JOIN paths USING (row_index), cut)",
+    ]
+    return ", ".join(ctes)
+
+
 _INVALID = "age_valid = 0 OR bp_valid = 0 OR dose_valid = 0 OR date_valid = 0"
 
 
@@ -582,6 +707,17 @@ def oracle_sql() -> dict[str, str]:
     imputed = ", ".join(
         f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM flags)) AS {c}" for c in NUMBERS
     )
+    totals = f"count(*) AS total_records, count(*) FILTER (WHERE {_INVALID} OR anomaly = 1) AS flagged_records"
+    few = (
+        f"SELECT {', '.join(_FEW_VISITS)} FROM (SELECT o_orderpriority, max(o_totalprice) AS o_totalprice, max(o_custkey) AS o_custkey,"
+        " max(o_orderkey) AS n, max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_orderpriority)"
+    )
+    # In the report every value is text.
+    numbers = [f"CAST({c} AS VARCHAR) AS {c}" for c in ("row_index", "age_num", "age_valid", "bp_valid", "dose_valid", "date_valid", "anomaly", *NUMBERS[1:])]
+    report = ", ".join(["age, systolic_bp, treatment_dose, visit_date", *numbers])
+    of_rules = report.replace(", CAST(anomaly AS VARCHAR) AS anomaly", "")
+    rule_totals = f"count(*) AS total_records, count(*) FILTER (WHERE {_INVALID}) AS flagged_records"
+    loaded = f"SELECT * REPLACE (row_number() OVER (ORDER BY row_index) - 1 AS row_index) FROM ({view_sql('visit_records')})"
     dm_columns = "STUDYID, USUBJID, SEX, AGE, AGEU, RFSTDTC, RFENDTC"
     return {
         "vs_row_rules": _with(["sdtm_vs"], _rules("VS")),
@@ -609,9 +745,23 @@ def oracle_sql() -> dict[str, str]:
         ),
         "visit_flags": f"WITH {flags} SELECT * FROM flags",
         "visit_imputed": f"WITH {flags} SELECT row_index, {imputed} FROM flags",
+        "visit_anomalies": f"WITH {flags}, {_forest_cte()} SELECT row_index, {', '.join(NUMBERS)}, anomaly FROM judged",
+        "visit_anomalies_few_rows": f"WITH {_flags_cte(few)} SELECT row_index, {', '.join(NUMBERS)}, 0 AS anomaly FROM flags",
+        "visit_flagged": f"WITH {flags}, {_forest_cte()} SELECT * FROM judged WHERE {_INVALID} OR anomaly = 1",
+        "visit_summary": f"WITH {flags}, {_forest_cte()} SELECT {totals} FROM judged",
+        "visits_pipeline": f"WITH {_flags_cte(loaded)}, {_forest_cte()} SELECT {report}, t.* FROM judged, (SELECT {totals} FROM judged) t WHERE {_INVALID} OR anomaly = 1",
         "visit_flagged_rules": f"WITH {flags} SELECT * FROM flags WHERE {_INVALID}",
         "visit_report_summary": f"WITH {flags} SELECT count(*) AS total_records, count(*) FILTER (WHERE {_INVALID}) AS flagged_records FROM flags",
         "report_preview": f"WITH {flags} SELECT * FROM flags WHERE {_INVALID} ORDER BY row_index LIMIT 25",
+        "report_roundtrip": f"WITH {flags} SELECT {of_rules}, t.* FROM flags, (SELECT {rule_totals} FROM flags) t WHERE {_INVALID}",
+        "csv_domain_roundtrip": _with(
+            ["sdtm_dm"],
+            "SELECT row_number() OVER (ORDER BY row_index % 2, row_index) - 1 AS row_index, STUDYID, USUBJID, SEX,"
+            " CASE WHEN row_index % 2 = 0 THEN AGE END AS AGE,"
+            " CASE WHEN row_index % 2 = 1 THEN 'seen' || chr(10) || 'by ' || USUBJID || ', \"MD\"' END AS NOTE FROM sdtm_dm",
+        ),
+        "csv_visits_load": loaded,
+        "findings_csv_roundtrip": _with(_STUDY_VIEWS, f"SELECT * REPLACE (CAST(row_index AS VARCHAR) AS row_index) FROM ({_study_sql()})"),
         "file_row_index": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey FROM orders",
         "djson_structure_findings": _structure_sql(),
         "djson_list_itemgroups": _oids_sql(),

@@ -14,14 +14,18 @@ from .plans.visits import (
     flagged,
     generate_report,
     impute_medians,
+    judge_visits,
     load_data,
     preview,
+    run_visits,
     summary,
     validate_visits,
+    write_report,
 )
 from .sources.codelists import read_codelists
 from .sources.csv import read_domain, read_table, write_findings, write_findings_csv
 from .sources.dataset_json import DatasetJson, read_documents
+from .sources.onefile import write_one_csv
 
 __all__ = [
     "FINDINGS",
@@ -35,6 +39,7 @@ __all__ = [
     "flagged",
     "generate_report",
     "impute_medians",
+    "judge_visits",
     "load_data",
     "merge",
     "no_findings",
@@ -43,6 +48,7 @@ __all__ = [
     "read_documents",
     "read_domain",
     "read_table",
+    "run_visits",
     "study_cross_findings",
     "summarize",
     "summary",
@@ -60,4 +66,6 @@ __all__ = [
     "with_row_index",
     "write_findings",
     "write_findings_csv",
+    "write_one_csv",
+    "write_report",
 ]

@@ -1,9 +1,15 @@
 """Isolation forest (Liu, Ting, Zhou: Isolation Forest, ICDM 2008) on Spark.
 
-Trees grow in parallel from small hashed samples, so training cost does not depend on
-the table; the finished forest has a fixed size and is broadcast; scoring is one narrow
-pass of Arrow batches. Samples and splits come from hashes and seeds, never from row
-order, so a table scores the same however it is partitioned.
+Every draw is a number taken from an MD5, so samples, splits and scores depend on nothing but
+the rows and the seed, and other engines can repeat them:
+
+* Each row has GROUPS hash values. A tree's sample are the rows that follow the tree's own starting point on the
+  ring of its group's hash values, so every row of the table has the same chance, and each tree finds its
+  rows in one narrow pass: a row is a candidate only where it lies within a short arc.
+* All trees grow together, level by level: counts and ranges of the values by (tree, node), a split drawn
+  for each node, and every sample row moves to a child. The samples are dealt out by tree once; a
+  tree has SAMPLE_ROWS rows, whatever the table holds, and nothing is shuffled between levels.
+* The finished forest has a fixed size and is broadcast; scoring is one narrow pass of Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,22 +21,25 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 # The functions below run in Python workers, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The customary settings.
 TREES = 100
 SAMPLE_ROWS = 256
-# All samples are drawn from at most this many rows, chosen by hash from the whole table.
-POOL_ROWS = 25_600
-# A tree takes part in the lottery for more rows than it needs and keeps the first SAMPLE_ROWS.
-LOTTERY_EXCESS = 1.4
-_LOTS = 2**63
-
-TREE_SCHEMA = "tree INT, feature ARRAY<INT>, threshold ARRAY<DOUBLE>, path ARRAY<DOUBLE>"
+# Trees of one group look at the same hash values from starting points that are STEP apart.
+GROUPS = 10
+STARTS = TREES // GROUPS
+STEP = 2**52 // STARTS
+# Arcs are long enough for so many rows on average; should one hold too few, all are made longer.
+ARC_ROWS = 2 * SAMPLE_ROWS
+# Path lengths are whole numbers of this fraction, so that their sums don't depend on an order.
+PATH_UNIT = 2**20
 
 
 def average_path(rows: float) -> float:
@@ -46,100 +55,112 @@ def depth_limit(sample_rows: int) -> int:
     return math.ceil(math.log2(max(sample_rows, 2)))
 
 
-def grow_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A tree as a complete binary heap: split features and thresholds, and a path length per lowest cell.
-
-    Where a branch ends early, its split sends everything left, to a cell with its path length.
-    """
-    inner = 2**depth - 1
-    feature = np.zeros(inner, dtype=np.int32)
-    threshold = np.full(inner, np.inf)
-    path = np.zeros(2**depth)
-    todo = [(0, sample, 0)]
-    while todo:
-        node, rows, level = todo.pop()
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if level == depth or len(rows) <= 1 or not len(usable):
-            cell = (node + 1) * 2 ** (depth - level) - 1 - inner
-            path[cell] = level + average_path(len(rows))
-            continue
-        split = usable[rng.integers(len(usable))]
-        at = rng.uniform(low[split], high[split])
-        feature[node], threshold[node] = split, at
-        right = rows[:, split] > at
-        todo += [(2 * node + 2, rows[right], level + 1), (2 * node + 1, rows[~right], level + 1)]
-    return feature, threshold, path
+def drawn(text: str, part: int = 0) -> str:
+    """SQL for a number in 0 .. 2^52 - 1 from the MD5 of a text; parts 0 and 1 are independent."""
+    return f"CAST(conv(substring(md5({text}), {1 + 13 * part}, 13), 16, 10) AS BIGINT)"
 
 
 def draw_samples(df: DataFrame, columns: Sequence[str], total: int, seed: int) -> DataFrame:
-    """(tree, lot, columns): for each tree somewhat more than SAMPLE_ROWS rows of the table."""
-    share = min(1.0, LOTTERY_EXCESS * POOL_ROWS / total)
-    pool_size = min(total, POOL_ROWS)
-    tree_share = 1.0 if pool_size <= SAMPLE_ROWS else min(1.0, LOTTERY_EXCESS * SAMPLE_ROWS / pool_size)
-    lot, tree_lot = _lot(f"row_index, {seed}"), _lot(f"row_index, t, {seed}")
-    pool = (
-        df.selectExpr("row_index", *columns, f"{lot} AS lot")
-        .filter(f"lot <= {_last_lot(share)}")
-        .orderBy("lot", "row_index")
-        .limit(POOL_ROWS)
-    )
-    drawn = f"filter(sequence(0, {TREES - 1}), t -> {tree_lot} <= {_last_lot(tree_share)})"
-    return pool.selectExpr("row_index", *columns, f"explode({drawn}) AS tree").selectExpr(
-        "tree", f"xxhash64(row_index, {seed}, tree) AS lot", *columns
-    )
-
-
-def _lot(of: str) -> str:
-    """A number that is evenly spread over 0 .. 2^63 - 1."""
-    return f"(xxhash64({of}) & {_LOTS - 1}L)"
-
-
-def _last_lot(share: float) -> str:
-    return f"{min(_LOTS - 1, int(share * _LOTS))}L"
+    """(tree, row_index, x: the values of ``columns``) of min(SAMPLE_ROWS, total) rows for each tree; written down."""
+    wanted, ring = min(SAMPLE_ROWS, total), STEP * STARTS
+    # Two groups share an MD5.
+    texts = [f"concat('{seed}:{g // 2}:', row_index)" for g in range(GROUPS)]
+    hashes = ", ".join(f"{drawn(t, g % 2)} % {ring}L" for g, t in enumerate(texts))
+    values = ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in columns)
+    hashed = df.selectExpr("row_index", f"array({values}) AS x", f"posexplode(array({hashes})) AS (g, h)")
+    arc = min(ring, -(-ring * ARC_ROWS // total))
+    while True:
+        # From starting points at or before the value, as far back as an arc reaches.
+        reach = -(-arc // STEP)
+        lots = [f"named_struct('tree', {STARTS}L * g + pmod(h div {STEP}L - {k}, {STARTS}L), 'lot', h % {STEP}L + {k} * {STEP}L)" for k in range(reach)]
+        candidates = hashed.selectExpr("row_index", "x", f"inline(array({', '.join(lots)}))").filter(f"lot < {arc}L")
+        place = F.row_number().over(Window.partitionBy("tree").orderBy("lot", "row_index"))
+        chosen = candidates.withColumn("place", place).filter(F.col("place") <= wanted)
+        samples = materialize(chosen.selectExpr("CAST(tree AS INT) AS tree", "row_index", "x"), "forest-samples")
+        if arc == ring or samples.count() == TREES * wanted:
+            return samples
+        arc = min(ring, 4 * arc)
+
+
+def grow_trees(samples: DataFrame, dimensions: int, depth: int, seed: int) -> DataFrame:
+    """(tree, node, n, feature, at): every node of every tree; ``feature`` is null at a leaf.
+
+    Nodes are numbered as in a heap from 1. A value greater than ``at`` goes right, to 2 * node + 1.
+    """
+    tasks = min(TREES, samples.sparkSession.sparkContext.defaultParallelism)
+    rows = samples.repartition(tasks, "tree").withColumn("node", F.lit(1).cast("long"))
+    at_node = Window.partitionBy("tree", "node")
+    values = [F.get("x", F.lit(i)) for i in range(dimensions)]
+    seen = []
+    for level in range(depth + 1):
+        ranges = [F.struct(F.lit(i).alias("i"), F.min(v).over(at_node).alias("low"), F.max(v).over(at_node).alias("high")) for i, v in enumerate(values)]
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(at_node)).withColumn("ranges", F.array(*ranges))
+        if level == depth:
+            split = F.lit(None).cast("struct<i: int, at: double>")
+        else:
+            text = f"concat('{seed}:', tree, ':', node)"
+            rows = rows.withColumn("usable", F.expr("filter(ranges, r -> r.high > r.low)"))
+            # Without a usable range there is none to pick.
+            rows = rows.withColumn("pick", F.expr(f"get(usable, CAST({drawn(text)} % greatest(size(usable), 1) AS INT))"))
+            split = F.expr(f"CASE WHEN pick IS NOT NULL THEN named_struct('i', pick.i, 'at', pick.low + {drawn(text, 1)} / {2**52}D * (pick.high - pick.low)) END")
+        name = f"level{level}"
+        rows = rows.withColumn("split", split).withColumn(name, F.expr("named_struct('node', node, 'n', n, 'feature', split.i, 'at', split.at)"))
+        seen.append(name)
+        # A leaf's rows stay where they are, and find the same again on the next level.
+        rows = rows.withColumn("node", F.expr("CASE WHEN split IS NULL THEN node ELSE 2 * node + CASE WHEN x[split.i] > split.at THEN 1 ELSE 0 END END"))
+    found = rows.selectExpr("tree", f"inline(array({', '.join(seen)}))")
+    return found.groupBy("tree", "node").agg(F.max("n").alias("n"), F.max("feature").alias("feature"), F.max("at").alias("at"))
 
 
 def fit_forest(df: DataFrame, columns: Sequence[str], total: int, seed: int) -> tuple[pd.DataFrame, int]:
-    """(one row per tree, rows per sample); ``df`` needs ``row_index`` and complete numeric columns."""
-    columns = list(columns)
+    """(one row per node, rows per sample); ``df`` needs ``row_index`` and complete numeric columns."""
     sample_rows = min(SAMPLE_ROWS, total)
-    depth = depth_limit(sample_rows)
+    nodes = grow_trees(draw_samples(df, columns, total, seed), len(columns), depth_limit(sample_rows), seed)
+    # At most 2 * SAMPLE_ROWS - 1 nodes a tree, whatever the table holds.
+    return nodes.orderBy("tree", "node").toPandas(), sample_rows
 
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(rows["tree"].iloc[0])
-        chosen = rows.sort_values(["lot", *columns]).head(sample_rows)
-        grown = grow_tree(chosen[columns].to_numpy(dtype=float), depth, np.random.default_rng([seed, tree]))
-        return pd.DataFrame({"tree": [tree], **dict(zip(("feature", "threshold", "path"), ([a] for a in grown)))})
 
-    # 100 groups of a few hundred rows each, whatever the table holds. The number of partitions
-    # is given, as the planner would put so little data into one task.
-    tasks = min(TREES, df.sparkSession.sparkContext.defaultParallelism)
-    samples = draw_samples(df, columns, total, seed).repartition(tasks, "tree")
-    trees = samples.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
-    return trees.orderBy("tree").toPandas(), sample_rows
+def as_heaps(forest: pd.DataFrame, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per tree: feature and threshold of every inner cell, and a path length for each cell of the lowest level.
+
+    Where a branch ends early, everything goes left, to a cell that has the branch's path length.
+    """
+    inner = 2**depth - 1
+    heaps = []
+    for _, tree in forest.groupby("tree", sort=True):
+        feature, threshold, path = np.zeros(inner, np.int32), np.full(inner, np.inf), np.zeros(2**depth, np.int64)
+        for node, n, split, at in zip(tree["node"].astype(int), tree["n"].astype(int), tree["feature"], tree["at"], strict=True):
+            level = node.bit_length() - 1
+            if pd.isna(split):
+                path[(node << (depth - level)) - 2**depth] = round((level + average_path(n)) * PATH_UNIT)
+                continue
+            feature[node - 1], threshold[node - 1] = int(split), at
+            # A child that no sample row went to has no entry of its own, and ends a path where it stands.
+            for child in (2 * node, 2 * node + 1):
+                path[(child << (depth - level - 1)) - 2**depth] = (level + 1) * PATH_UNIT
+        heaps.append((feature, threshold, path))
+    return heaps
 
 
 def with_scores(df: DataFrame, columns: Sequence[str], forest: pd.DataFrame, sample_rows: int, name: str) -> DataFrame:
     """Adds the anomaly score in (0, 1]; higher is more isolated."""
-    columns = list(columns)
     depth = depth_limit(sample_rows)
-    shipped = df.sparkSession.sparkContext.broadcast(
-        [tuple(np.asarray(v) for v in tree) for tree in forest[["feature", "threshold", "path"]].itertuples(index=False)]
-    )
-    scale = average_path(sample_rows) or 1.0
+    heaps = as_heaps(forest, depth)
+    shipped = df.sparkSession.sparkContext.broadcast(heaps)
+    scale = (average_path(sample_rows) or 1.0) * PATH_UNIT * len(heaps)
 
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = shipped.value
         for batch in batches:
             values = np.column_stack([s.to_numpy(dtype=float) for s in batch])
             flat, start = values.ravel(), np.arange(len(values)) * values.shape[1]
-            total_path = np.zeros(len(values))
+            total_path = np.zeros(len(values), np.int64)
             for feature, threshold, path in trees:
                 node = np.zeros(len(values), dtype=np.int64)
                 for _ in range(depth):
                     node = 2 * node + 1 + (flat[start + feature[node]] > threshold[node])
                 total_path += path[node - len(feature)]
-            yield pd.Series(2.0 ** (-total_path / len(trees) / scale))
+            yield pd.Series(2.0 ** (-total_path / scale))
 
     # The iterator form is told apart by its type hints.
     scorer = F.pandas_udf(score, "double")

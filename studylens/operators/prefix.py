@@ -27,15 +27,18 @@ def running_total(table: DataFrame, keys: Sequence[str], value: str, name: str,
     """Adds ``name``, the sum of ``value`` over all rows before, in order of ``keys``, which are unique.
 
     Two levels: sums inside of each range by a window over that range alone, and the sums of whole
-    ranges, of which there is one for ``rows_per_range`` rows. The table is written down first.
+    ranges, of which there is one for ``rows_per_range`` rows. ``table`` should read from files, as it
+    is counted first; beyond one range it is written down in ranges.
     """
     spark = table.sparkSession
-    dealt = ranged(table, keys, -(-table.count() // rows_per_range), "running-total")
+    ranges = -(-table.count() // rows_per_range)
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long")
+    if ranges <= 1:
+        return table.withColumn("_range", F.lit(0)).withColumn(name, local).drop("_range")
+    dealt = ranged(table, keys, ranges, "running-total")
     totals = dealt.groupBy("_range").agg(F.sum(value).alias("t")).orderBy("_range").collect()
     before = [0, *accumulate(r["t"] or 0 for r in totals)]
     bases = [(r["_range"], int(b)) for r, b in zip(totals, before, strict=False)]
-    known = spark.createDataFrame(bases, "_range int, _base long")
-    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    total = (F.col("_base") + F.col("_local")).cast("long").alias(name)
-    return local.join(F.broadcast(known), "_range").select(*table.columns, total)
+    known = F.broadcast(spark.createDataFrame(bases, "_range int, _base long"))
+    return dealt.withColumn("_local", local).join(known, "_range").select(*table.columns, (F.col("_base") + F.col("_local")).alias(name))

@@ -93,13 +93,19 @@ class _Search:
         self.done = True
 
 
+def finite(column: str) -> str:
+    """A column as double, null where it holds no finite number."""
+    value = f"CAST(`{column}` AS DOUBLE)"
+    return f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
+
+
 def exact_quantiles(df: DataFrame, shares: Mapping[str, float]) -> tuple[dict[str, float | None], int]:
-    """({column: quantile}, number of rows); nulls are ignored, a column without values gives None.
+    """({column: quantile}, number of rows); a column without values gives None. Null, NaN and infinite values are ignored.
 
     Quantiles between two values are interpolated linearly. Nothing is approximate: the
     sketch only says where to look, and every bracket is checked by exact counts.
     """
-    doubles = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in shares])
+    doubles = df.selectExpr(*[f"{finite(c)} AS `{c}`" for c in shares])
     searches = [_Search(c, p) for c, p in shares.items()]
     total = 0
     for _ in range(MAX_ROUNDS):

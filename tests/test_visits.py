@@ -103,6 +103,40 @@ def test_imputation(table):
     assert [r.treatment_dose_num for r in rows] == [1, 2, 3, 10]
 
 
+def test_numbers_that_are_not_finite_count_as_missing(spark):
+    rows = [(i, 40 + i % 3, [120.0, float("inf"), float("nan"), 130.0, float("-inf")][i % 5], 10.0, "d") for i in range(40)]
+    visits = sl.apply_rules(spark.createDataFrame(rows, "row_index BIGINT, age INT, systolic_bp DOUBLE, treatment_dose DOUBLE, visit_date STRING"))
+    assert {r.systolic_bp_num for r in sl.impute_medians(visits)[0].collect()} == {120.0, 125.0, 130.0}
+    assert sl.detect_anomalies(visits).count() == 40
+
+
+def test_report_counts_in_the_job_that_writes(spark, tmp_path):
+    judged = sl.detect_anomalies(sl.apply_rules(planted(spark)))
+    expected = tuple(sl.summary(judged).first())
+    spark.sparkContext.setJobGroup("report", "report")
+    try:
+        report = sl.write_report(judged, str(tmp_path), datetime(2025, 1, 2, 3, 4, 5))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("report")) == 1
+    assert (report.total_records, report.flagged_records) == expected
+    assert sl.read_table(spark, report.path).count() == report.flagged_records
+
+
+def test_from_file_to_one_report_file(spark, tmp_path):
+    records = planted(spark, 300).repartition(4).orderBy("row_index").drop("row_index")
+    sl.write_one_csv(records, str(tmp_path / "in.csv"))
+    report = sl.run_visits(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), datetime(2025, 1, 2))
+    path = tmp_path / "out" / "validation_report_2025-01-02_00-00-00.csv"
+    assert report.path == str(path) and path.is_file() and [p.name for p in path.parent.iterdir()] == [path.name]
+    lines = path.read_text().splitlines()
+    names = [n.strip('"') for n in lines[0].split(",")]
+    assert names[0] == "row_index" and names[-1] == "anomaly"
+    numbers = [int(line.split(",")[0]) for line in lines[1:]]
+    assert numbers == sorted(numbers) and len(numbers) == report.flagged_records and report.total_records == 300
+    assert {100, 200} <= set(numbers)
+
+
 def test_report(spark, tmp_path):
     judged = sl.detect_anomalies(sl.apply_rules(planted(spark)))
     path = sl.generate_report(judged, str(tmp_path), datetime(2025, 1, 2, 3, 4, 5))

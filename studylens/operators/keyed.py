@@ -9,7 +9,8 @@ Checks over groups (uniqueness, orphans, date windows) all work in two steps:
 
 In step 2 the key table is usually small and is broadcast, but only after its
 real size was measured; the big table then is not shuffled at all. Otherwise both
-sides are shuffled, with the heaviest keys spread over many partitions.
+sides are shuffled, and every key that weighs more than a fraction of a partition is cut into
+slices in proportion to its weight.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-# The HEAVY_KEYS heaviest keys are salted. Any other key holds at most
-# 1/(HEAVY_KEYS + 1) of the rows, whatever the distribution.
-HEAVY_KEYS = 256
+# A slice has at most 1/SLICES_PER_PARTITION of the rows of an average partition, but need not have fewer
+# than SLICE_ROWS rows.
+SLICES_PER_PARTITION = 8
+SLICE_ROWS = 10_000
 ROW_OVERHEAD_BYTES = 64
 
 
@@ -60,35 +62,36 @@ def rows_of_keys(
     size = total_bytes(keyed)[0] if keyed_bytes is None else keyed_bytes
     if size <= limit:
         return rows.join(F.broadcast(keyed), on)
-    return salted_join(rows, keyed, on, weight)
+    return sliced_join(rows, keyed, on, weight)
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
-    """Shuffle join with the heaviest keys split into one slice per shuffle partition.
+def slice_rows(keyed: DataFrame, on: Sequence[str], weight: str, max_bytes: int = BROADCAST_BYTES) -> int:
+    """Rows that a slice of a key may have.
 
-    Exact: the single key row of a heavy key is copied to every slice. At most
-    HEAVY_KEYS keys are broadcast, and at most HEAVY_KEYS x slices rows are copied.
+    A share of an average partition, so keys beyond it number at most SLICES_PER_PARTITION times the
+    partitions, whatever the distribution. Should their list still be too large to broadcast, as ids
+    are long, slices are made larger.
+    """
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    target = max(SLICE_ROWS, -(-total // (SLICES_PER_PARTITION * partitions)))
+    ids = keyed.select(*on, weight)
+    doubled = [target << i for i in range(24)]
+    sizes = total_bytes(ids, [f"`{weight}` > {t}L" for t in doubled])
+    return next((t for t, size in zip(doubled, sizes, strict=True) if size <= max_bytes), doubled[-1])
+
+
+def sliced_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
+    """Shuffle join in which a key has a slice for every so many of its rows.
+
+    Exact: a row goes to one slice of its key, and the single key row is copied to each of them. The copies
+    number the keys plus the rows divided by the rows of a slice.
     """
     on = list(on)
-    slices = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    heavy = (
-        keyed.dropna(subset=on)
-        .orderBy(F.desc(weight), *on)
-        .limit(HEAVY_KEYS)
-        .select(*on, F.lit(True).alias("_heavy"))
-    )
-    heavy = F.broadcast(heavy)
-    all_slices = F.sequence(F.lit(0), F.lit(slices - 1))
-    copies = keyed.join(heavy, on, "left").withColumn(
-        "_slice", F.explode(F.when(F.col("_heavy"), all_slices).otherwise(F.array(F.lit(0))))
-    )
-    spread = (
-        rows.dropna(subset=on)
-        .join(heavy, on, "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_heavy"), F.pmod(F.xxhash64("row_index"), F.lit(slices)).cast("int")).otherwise(F.lit(0)),
-        )
-    )
-    joined = spread.drop("_heavy").join(copies.drop("_heavy"), [*on, "_slice"])
-    return joined.drop("_slice")
+    target = slice_rows(keyed, on, weight)
+    named = keyed.dropna(subset=on).withColumn("_slices", F.ceil(F.col(weight) / target).cast("int"))
+    copies = named.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.greatest("_slices", F.lit(1)) - 1))).drop("_slices")
+    cut = named.filter(f"`{weight}` > {target}L").select(*on, "_slices")
+    own = F.pmod(F.xxhash64("row_index"), F.coalesce("_slices", F.lit(1))).cast("int")
+    spread = rows.dropna(subset=on).join(F.broadcast(cut), on, "left").withColumn("_slice", own).drop("_slices")
+    return spread.join(copies, [*on, "_slice"]).drop("_slice")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import studylens as sl
 from studylens.operators import keyed
@@ -111,14 +112,14 @@ def skewed_study(spark, rows=600):
     }
 
 
-def test_salted_path_finds_the_same(spark, monkeypatch):
+def test_sliced_path_finds_the_same(spark, monkeypatch):
     tables = skewed_study(spark)
     rules = [*vs_ae_rules(), *vs_cm_rules(), *(dm_link_rule(d) for d in ("VS", "AE", "CM"))]
-    monkeypatch.setattr(keyed, "HEAVY_KEYS", 3)
+    monkeypatch.setattr(keyed, "SLICE_ROWS", 7)
     key = lambda r: tuple(map(str, r))
     broadcast = sorted(cross_findings(tables, rules).collect(), key=key)
-    salted = sorted(cross_findings(tables, rules, broadcast_bytes=0).collect(), key=key)
-    assert broadcast == salted
+    sliced = sorted(cross_findings(tables, rules, broadcast_bytes=0).collect(), key=key)
+    assert broadcast == sliced
     assert len(broadcast) > 300
     both = [
         sorted(duplicate_subjects(tables["DM"], mode, broadcast_bytes=b).collect(), key=key)
@@ -130,22 +131,53 @@ def test_salted_path_finds_the_same(spark, monkeypatch):
     assert len(both[0]) > len(both[2]) > 0
 
 
-def test_salted_join_spreads_the_hot_key(spark):
-    rows = spark.range(3000).selectExpr("id AS row_index", "CASE WHEN id % 3 = 0 THEN 'HOT' ELSE concat('S', id % 500) END AS k")
+@pytest.fixture
+def plain_shuffles(spark):
+    """Without adaptive execution and broadcasts by size, and with 16 partitions."""
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    yield 16
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def hot_rows(spark):
+    """300 keys of 400 rows each, one with 60,000, a third of all, and some light ones."""
+    hot = "CASE WHEN id < 60000 THEN 'HOT' WHEN id < 180000 THEN concat('K', id % 300) ELSE concat('S', id) END"
+    return spark.range(0, 181_000, numPartitions=6).selectExpr("id AS row_index", f"{hot} AS k")
+
+
+def test_every_heavy_key_is_spread(spark, plain_shuffles, monkeypatch):
+    monkeypatch.setattr(keyed, "SLICE_ROWS", 100)
+    rows = hot_rows(spark)
     table = materialize(rows.groupBy("k").count(), "keys")
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = keyed.salted_join(rows, table, ["k"], "count")
-        tasks = joined.filter("k = 'HOT'").selectExpr("spark_partition_id() AS p").distinct().count()
-        assert joined.count() == 3000
-        assert joined.select("row_index").distinct().count() == 3000
-        assert tasks > 1
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    monkeypatch.setattr(keyed, "SLICES_PER_PARTITION", 100)
+    assert keyed.slice_rows(table, ["k"], "count") == 114
+    joined = keyed.sliced_join(rows, table, ["k"], "count")
+    tasks = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(tasks) == 181_000 and len(tasks) == plain_shuffles
+    assert max(tasks) < 1.5 * 181_000 / plain_shuffles  # a third of all rows would be 60,000
+    assert joined.select("row_index").distinct().count() == 181_000
+    assert joined.filter("k = 'HOT' AND count = 60000").count() == 60_000
+    # 300 keys of 400 rows, which no list of a few heaviest keys could hold, are cut as well.
+    places = joined.filter("k = 'K7'").groupBy(F.spark_partition_id().alias("p")).count().count()
+    assert places > 1
+
+
+def test_as_many_slices_as_there_are_rows_for(spark, plain_shuffles, monkeypatch):
+    table = materialize(hot_rows(spark).groupBy("k").count(), "keys")
+    assert keyed.slice_rows(table, ["k"], "count") == 10_000  # small tables need no slices smaller than this
+    monkeypatch.setattr(keyed, "SLICE_ROWS", 1)
+    target = keyed.slice_rows(table, ["k"], "count")
+    assert target == -(-181_000 // (8 * plain_shuffles))
+    assert table.filter(F.col("count") > target).count() <= 8 * plain_shuffles
+    # A list that may not take any memory leaves no key cut, and the join is right all the same.
+    assert keyed.slice_rows(table, ["k"], "count", max_bytes=0) >= 60_000
+    few = hot_rows(spark).filter("row_index % 50 = 0")
+    counts = materialize(few.groupBy("k").count(), "keys")
+    assert keyed.sliced_join(few, counts, ["k"], "count").count() == few.count()
 
 
 @pytest.mark.parametrize("partitions", [1, 5])

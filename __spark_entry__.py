@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import studylens as sl  # noqa: E402
+from studylens.functions.text import quoted  # noqa: E402
 from studylens.operators.materialize import shared_folder  # noqa: E402
 from studylens.plans.domains import validate_rows  # noqa: E402
 from studylens.plans.visits import NUMBERS  # noqa: E402
@@ -171,6 +172,11 @@ _PLANTED = {
     5: ('"itemGroupData":', '"itemGroupData":7.5,"other":'),
     6: ('"clinicalData":', '"clinicalData":0,"referenceData":'),
     7: ('"IG.VS":{"name":"VS",', '"IG.QVS":{"name":"vitals",'),
+    # Values of the wrong kind, some of them texts that hold JSON.
+    8: ('"clinicalData":', '"clinicalData":"{}","other":'),
+    9: ('"clinicalData":', '"clinicalData":[{}],"other":'),
+    10: ('"itemGroupData":', '"itemGroupData":"{\\"IG.VS\\":{}}","other":'),
+    11: ('"itemGroupData":', '"itemGroupData":null,"other":'),
 }
 
 
@@ -186,11 +192,27 @@ _PLANTED_IN_GROUP = {
     4: ('"itemData":[', '"itemData":"none","other":['),
     5: ('"IG.VS":{"name":"VS",', '"IG.VS":5,"OTHER":{"name":"other",'),
     6: ('"items":[', '"items":[],"itemData":{},"other":['),
+    # Texts that hold JSON are texts.
+    7: ('"IG.VS":{"name":"VS",', '"IG.VS":"{\\"items\\":[{\\"name\\":\\"A\\"}],\\"itemData\\":[[1]]}","OTHER":{"name":"other",'),
+    8: ('"items":[', '"items":"[{}]","other":['),
+    9: ('"itemData":[', '"itemData":"[[1]]","other":['),
+    10: ('"items":[', '"items":{"name":"A","OID":"B"},"other":['),
+}
+
+# Other names for the first item, by doc_id % 8.
+_PLANTED_NAMES = {
+    1: ('"name":"USUBJID"', '"name":0'),
+    2: ('"name":"USUBJID"', '"name":false'),
+    3: ('"name":"USUBJID"', '"name":true'),
+    4: ('"OID":"IT.USUBJID","name":"USUBJID"', '"OID":[],"name":""'),
+    5: ('"name":"USUBJID"', '"name":null'),
+    6: ('"name":"USUBJID"', '"name":7'),
+    7: ('"name":"USUBJID"', '"name":"VSDTC"'),
 }
 
 
 def _plant(docs: DataFrame, faults: dict[int, tuple[str, str]]) -> DataFrame:
-    branches = " ".join(f"WHEN {k} THEN replace(doc, '{old}', '{new}')" for k, (old, new) in faults.items())
+    branches = " ".join(f"WHEN {k} THEN replace(doc, {quoted(old)}, {quoted(new)})" for k, (old, new) in faults.items())
     return docs.selectExpr("doc_id", f"CASE doc_id % {max(faults) + 1} {branches} ELSE doc END AS doc")
 
 
@@ -199,6 +221,23 @@ def _group_findings(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
     return findings_of(sl.DatasetJson(docs).records(["VS"], strict))
 
 
+# Texts that are no JSON document, by doc_id % 6: cut off, more text, another document, an open end, none at all.
+_BROKEN = """CASE doc_id % 6 WHEN 1 THEN substr(doc, 1, length(doc) - 3) WHEN 2 THEN concat(doc, ' x') WHEN 3 THEN concat(doc, doc)
+ WHEN 4 THEN concat(doc, '}') WHEN 5 THEN '  ' ELSE doc END"""
+
+
+def _broken_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return study_documents(spark, sf, ["DM"], BLOCK).selectExpr("doc_id", f"{_BROKEN} AS doc")
+
+
+def _documents_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Demographics out of files, one document each, a part of them broken."""
+    folder = _own_folder(spark, "documents")
+    _broken_documents(spark, sf).write.partitionBy("doc_id").text(folder)
+    read = sl.read_documents(spark, folder).selectExpr("CAST(regexp_extract(doc_id, 'doc_id=([0-9]+)', 1) AS BIGINT) AS doc_id", "doc")
+    return sl.DatasetJson(read).domain_table("DM")
+
+
 # Faults planted into records, by row_index % 50.
 _VS_CELLS = "USUBJID, VSTESTCD, VSORRES, VSORRESU, VSDTC"
 _FAULTY_RECORD = f"""CASE row_index % 50 WHEN 0 THEN '5' WHEN 2 THEN to_json(array(USUBJID, VSTESTCD))
@@ -286,6 +325,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "djson_group_findings": lambda spark, sf: _group_findings(spark, sf, strict=False),
         "djson_group_findings_strict": lambda spark, sf: _group_findings(spark, sf, strict=True),
         "djson_domain_inference": lambda spark, sf: sl.DatasetJson(_faulty_documents(spark, sf)).itemgroup_oids(["VS", "DM"]),
+        "djson_item_names": lambda spark, sf: sl.DatasetJson(
+            _plant(study_documents(spark, sf, ["VS"], BLOCK), _PLANTED_NAMES)
+        ).group_columns(["VS"]).selectExpr("doc_id", "oid", "array_join(item_names, ';') AS names"),
+        "djson_unreadable": lambda spark, sf: sl.DatasetJson(_broken_documents(spark, sf)).validate_top_level(),
+        "djson_read_files": _documents_from_files,
         "djson_extract_dm": lambda spark, sf: sl.DatasetJson(study_documents(spark, sf, ["DM"], BLOCK)).domain_table("DM"),
         "djson_extract_faulty_vs": lambda spark, sf: _faulty_records(spark, sf).domain_table("VS", _VS_CELLS.split(", ")),
         "djson_record_findings": lambda spark, sf: findings_of(_faulty_records(spark, sf).records(["VS"])),
@@ -596,11 +640,15 @@ _VS_DOCS = f"docs AS (SELECT DISTINCT row_index // {BLOCK} AS doc_id FROM sdtm_v
 def _structure_sql() -> str:
     root, groups = "'clinicalData/referenceData'", "'itemGroupData'"
     parts = [
-        _dj("DJ_000", "'creationDateTime'", "''", "doc_id % 8 = 1", "docs", message="Missing required top-level attribute: creationDateTime"),
-        _dj("DJ_002", root, "'<class ''NoneType''>'", "doc_id % 8 = 2", "docs"),
-        _dj("DJ_001", root, "''", "doc_id % 8 = 3", "docs"),
-        _dj("DJ_003", groups, "''", "doc_id % 8 = 4", "docs"),
-        _dj("DJ_004", groups, "'<class ''float''>'", "doc_id % 8 = 5", "docs"),
+        _dj("DJ_002", root, "'<class ''str''>'", "doc_id % 12 = 8", "docs"),
+        _dj("DJ_002", root, "'<class ''list''>'", "doc_id % 12 = 9", "docs"),
+        _dj("DJ_004", groups, "'<class ''str''>'", "doc_id % 12 = 10", "docs"),
+        _dj("DJ_004", groups, "'<class ''NoneType''>'", "doc_id % 12 = 11", "docs"),
+        _dj("DJ_000", "'creationDateTime'", "''", "doc_id % 12 = 1", "docs", message="Missing required top-level attribute: creationDateTime"),
+        _dj("DJ_002", root, "'<class ''NoneType''>'", "doc_id % 12 = 2", "docs"),
+        _dj("DJ_001", root, "''", "doc_id % 12 = 3", "docs"),
+        _dj("DJ_003", groups, "''", "doc_id % 12 = 4", "docs"),
+        _dj("DJ_004", groups, "'<class ''float''>'", "doc_id % 12 = 5", "docs"),
     ]
     return _with(["sdtm_vs"], f", {_VS_DOCS} " + " UNION ALL ".join(parts))
 
@@ -609,18 +657,20 @@ def _group_findings_sql(strict: bool) -> str:
     items, data, none = "'IG.VS.items'", "'IG.VS.itemData'", "'<class ''NoneType''>'"
 
     def dj(rule_id: str, field: str, evidence: str, *faults: int) -> str:
-        return _dj(rule_id, field, evidence, f"doc_id % 7 IN ({', '.join(map(str, faults))})", "docs")
+        return _dj(rule_id, field, evidence, f"doc_id % 11 IN ({', '.join(map(str, faults))})", "docs")
 
     parts = [
-        dj("DJ_101", items, "''", 1, 6),
+        dj("DJ_101", items, "''", 1, 6, 8, 10),
         dj("DJ_102", data, none, 2),
         dj("DJ_103", "'IG.VS.items[0]'", "'<class ''int''>'", 3),
         dj("DJ_103", "'IG.VS.items[1]'", none, 3),
-        dj("DJ_102", data, "'<class ''str''>'", 4),
-        _dj("DJ_100", "'itemGroupData'", "'IG.VS;OTHER'", "doc_id % 7 = 5", "docs", message="ItemGroup 'IG.VS' not found in itemGroupData."),
+        dj("DJ_102", data, "'<class ''str''>'", 4, 9),
+        _dj("DJ_100", "'itemGroupData'", "'IG.VS;OTHER'", "doc_id % 11 IN (5, 7)", "docs", message="ItemGroup 'IG.VS' not found in itemGroupData."),
     ]
     if not strict:
-        parts.append(dj("DJ_104", items, "''", 1, 6))
+        parts.append(dj("DJ_104", items, "''", 1, 6, 8, 10))
+        # A text is gone through by character, an object by key.
+        parts += [dj("DJ_103", f"'IG.VS.items[{i}]'", "'<class ''str''>'", *([8, 10] if i < 2 else [8])) for i in range(4)]
     return _with(["sdtm_vs"], f", {_VS_DOCS} " + " UNION ALL ".join(parts))
 
 
@@ -630,7 +680,7 @@ def _oids_sql() -> str:
 
 
 def _inference_sql() -> str:
-    oid = "CASE WHEN doc_id % 8 IN (0, 1, 6) THEN 'IG.VS' WHEN doc_id % 8 = 7 THEN 'IG.QVS' END"
+    oid = "CASE WHEN doc_id % 12 IN (0, 1, 6) THEN 'IG.VS' WHEN doc_id % 12 = 7 THEN 'IG.QVS' END"
     return _with(
         ["sdtm_vs"],
         f", {_VS_DOCS} SELECT doc_id, 'VS' AS domain, {oid} AS oid FROM docs"
@@ -768,6 +818,21 @@ def oracle_sql() -> dict[str, str]:
         "djson_group_findings": _group_findings_sql(strict=False),
         "djson_group_findings_strict": _group_findings_sql(strict=True),
         "djson_domain_inference": _inference_sql(),
+        "djson_item_names": _with(
+            ["sdtm_vs"],
+            f", {_VS_DOCS} SELECT doc_id, 'IG.VS' AS oid, CASE doc_id % 8 WHEN 0 THEN 'USUBJID' WHEN 3 THEN 'True' WHEN 4 THEN 'COL_0'"
+            " WHEN 6 THEN '7' WHEN 7 THEN 'VSDTC' ELSE 'IT.USUBJID' END || ';VSTESTCD;VSORRES;VSORRESU;VSDTC'"
+            " || CASE WHEN doc_id % 8 = 7 THEN '_2' ELSE '' END AS names FROM docs",
+        ),
+        "djson_unreadable": _with(
+            ["sdtm_dm"],
+            f", docs AS (SELECT DISTINCT row_index // {BLOCK} AS doc_id FROM sdtm_dm) "
+            + _dj(X.DJ_UNREADABLE, "'document'", """CASE WHEN doc_id % 6 = 5 THEN '  ' ELSE '{"creationDateTime":' END""", "doc_id % 6 <> 0", "docs"),
+        ),
+        "djson_read_files": _with(
+            ["sdtm_dm"],
+            f"SELECT doc_id, row_index, row_index AS src_index, {dm_columns} FROM {_in_documents('sdtm_dm')} WHERE doc_id % 6 = 0",
+        ),
         "djson_extract_dm": _with(
             ["sdtm_dm"], f"SELECT doc_id, row_index, row_index AS src_index, {dm_columns} FROM {_in_documents('sdtm_dm')}"
         ),

@@ -1,8 +1,8 @@
 """JSON expressions written as Spark SQL: kinds of values and last-wins lookups.
 
 ``from_json`` with a string target loses the difference between a text and another
-value that reads alike, so kinds are told by typed attempts on the *parent* text.
-These run only for documents that already failed the well-formed path.
+value that reads alike, so kinds are told by typed attempts on the *parent* text, or by variants,
+which keep each value's kind. Beside short names, these run only for documents that are not well-formed.
 """
 
 from __future__ import annotations
@@ -36,6 +36,25 @@ def class_of_variant(v: str) -> str:
     return f"coalesce(try_element_at(map({known}), {kind}), {_class('NoneType')})"
 
 
+def variant_is(v: str, kind: str) -> str:
+    """Whether a variant is of a scalar kind that needs no look inside, such as STRING."""
+    return f"coalesce(schema_of_variant({v}) = '{kind}', FALSE)"
+
+
+def truthy_variant(v: str) -> str:
+    """False for null, and for empty, zero or false values."""
+    # As JSON a text has its quotes, so only numbers can be cast.
+    return (
+        f"{v} IS NOT NULL AND to_json({v}) NOT IN ('null', 'false', '\"\"', '[]', '{{}}')"
+        f" AND coalesce(try_cast(to_json({v}) AS DOUBLE) <> 0, TRUE)"
+    )
+
+
+def text_of_variant(v: str) -> str:
+    """A text as it is, True as findings write it, any other value as JSON."""
+    return f"CASE WHEN to_json({v}) = 'true' THEN 'True' ELSE variant_get({v}, '$', 'string') END"
+
+
 def class_of_field(parent: str, field: str) -> str:
     """Kind of ``parent[field]``. Containers are tried by type, so only scalars become variants."""
 

@@ -88,8 +88,11 @@ DM_LINK_TEXTS = {
     "001": ("HIGH", "USUBJID", "%s subject not found in DM (orphan USUBJID)."),
 }
 
-# Dataset-JSON: rule id -> (severity, message); a %s stands for the name in question.
+# --- Fixed values: Dataset-JSON -----------------------------------------------
+# Rule id -> (severity, message); a %s stands for the name in question.
+DJ_UNREADABLE = "DJ_UNREADABLE"  # own rule: a text that is no JSON document
 DJ_TEXTS = {
+    DJ_UNREADABLE: ("CRIT", "The document is not a well-formed JSON text."),
     "DJ_000": ("CRIT", "Missing required top-level attribute: %s"),
     "DJ_001": ("CRIT", "Dataset-JSON must include either clinicalData or referenceData."),
     "DJ_002": ("CRIT", "clinicalData/referenceData must be a JSON object."),
@@ -104,6 +107,7 @@ DJ_TEXTS = {
     "DJ_106": ("HIGH", "Record length does not match number of items."),
     "DJ_110": ("CRIT", "Could not infer itemGroup OID for domain '%s'."),
 }
+EVIDENCE_CHARS = 20  # of an unreadable text
 DJ_TOP_LEVEL = ["creationDateTime", "datasetJSONVersion"]
 
 # --- Fixed values: visit record bounds and outlier settings -------------------

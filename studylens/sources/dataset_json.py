@@ -1,10 +1,10 @@
 """Dataset-JSON documents: structure checks and extraction of item groups.
 
 A document is one row of text, so a collection of documents is parsed in parallel by
-ordinary ``from_json`` expressions. Well-formed documents take a short path with three
-nested parses; kinds and odd elements are looked into only where that path fails.
-Where a group, its items or its itemData is a JSON *string* that itself holds a JSON
-text, that text is read as if it stood there unquoted.
+ordinary ``from_json`` expressions. A well-formed document takes one typed parse; kinds and odd
+elements are looked into only where that fails. A value counts as what it is: a text that
+holds JSON is a text. A document that is no JSON text from end to end (cut off, or with more text after
+its end) is unreadable, which is all that is said of it.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from ..functions.json import (
     class_of_field,
     class_of_variant,
     entry,
-    field,
     is_class,
+    text_of_variant,
     truthy_field,
+    truthy_variant,
     unique_entries,
+    variant_is,
 )
 from ..functions.text import quoted
 from ..operators.findings import Hit, found, unpack
@@ -49,49 +51,63 @@ class DatasetJson:
     # -- structure ---------------------------------------------------------------
 
     def parsed(self) -> DataFrame:
-        """Per document: ``doc_notes`` (findings) and ``pairs``, the item groups in document order."""
-        cd = "roots.clinicalData"
-        rd = "roots.referenceData"
+        """Per document: ``doc_notes`` (findings), ``pairs``, the item groups in document order, and ``root_name``.
+
+        A group's value is a ``_DATASET`` struct, null if it is no object. One typed parse settles a well-formed
+        document; it also tells whether the text ends where the document does, as the document is read
+        inside of another one whose only other field holds the text's own digest.
+        """
+        whole = "concat('{\"doc\":', doc, ',\"end\":\"', md5(doc), '\"}')"
+        typed = f"from_json({whole}, 'doc STRUCT<{_roots(_DATASET_MAP)}>, end STRING', {_STRICT})"
+        cd, rd = "roots.clinicalData", "roots.referenceData"
+        # Groups of a sound root: an empty clinicalData leaves the word to referenceData, and so does none.
+        fast_pairs = (
+            "CASE WHEN p.doc.clinicalData.itemGroupData IS NOT NULL THEN map_entries(p.doc.clinicalData.itemGroupData)"
+            " WHEN NOT array_contains(top_keys, 'clinicalData') THEN map_entries(p.doc.referenceData.itemGroupData) END"
+        )
         odd_clinical = (
             f"CASE WHEN {cd} IS NULL AND array_contains(top_keys, 'clinicalData')"
             f" THEN {truthy_field('doc', 'clinicalData')} ELSE FALSE END"
         )
         root_class = (
-            f"CASE WHEN root IS NOT NULL THEN NULL"
+            f"CASE WHEN root_name IS NOT NULL THEN NULL"
             f" WHEN odd_clinical THEN {class_of_field('doc', 'clinicalData')}"
             f" ELSE {class_of_field('doc', 'referenceData')} END"
         )
-        # The raw text of the root is needed only to name the kind of a misplaced itemGroupData.
-        root_text = (
-            f"CASE WHEN size({cd}) > 0 THEN from_json(doc, 'clinicalData STRING').clinicalData"
-            " ELSE from_json(doc, 'referenceData STRING').referenceData END"
+        root_name = (
+            "CASE WHEN fast IS NOT NULL AND p.doc.clinicalData.itemGroupData IS NOT NULL THEN 'clinicalData'"
+            f" WHEN fast IS NOT NULL THEN 'referenceData' WHEN size({cd}) > 0 THEN 'clinicalData'"
+            f" WHEN NOT odd_clinical AND {rd} IS NOT NULL THEN 'referenceData' END"
         )
+        # Where a group is no object, each is told by its kind; a text that holds JSON stays a text.
+        kinds = f"from_json(doc, '{_roots('MAP<STRING, VARIANT>')}')"
+        slow_pairs = (
+            f"transform(zip_with(map_entries({_of_root(_texts('doc'))}), map_entries({_of_root(kinds)}),"
+            f" (t, k) -> named_struct('key', t.key, 'text', t.value, 'kind', {class_of_variant('k.value')})),"
+            f" z -> named_struct('key', z.key, 'value', CASE WHEN {is_class('z.kind', 'dict')} THEN from_json(z.text, '{_DATASET_FIELDS}') END))"
+        )
+        # The raw text of the root is needed only to name the kind of a misplaced itemGroupData.
+        root_text = f"CASE root_name WHEN 'clinicalData' THEN from_json(doc, 'clinicalData STRING').clinicalData ELSE from_json(doc, 'referenceData STRING').referenceData END"
         groups_class = (
-            f"CASE WHEN root IS NOT NULL AND has_groups AND raw_pairs IS NULL"
+            f"CASE WHEN root_name IS NOT NULL AND has_groups AND raw_pairs IS NULL"
             f" THEN {class_of_field(f'({root_text})', 'itemGroupData')} END"
         )
-        # Fast path: all groups are objects. Otherwise each one is tried alone.
-        pairs = (
-            f"coalesce(map_entries(from_json(groups_text, 'MAP<STRING,{STRINGS}>')),"
-            f" transform(map_entries(from_json(groups_text, '{STRINGS}')),"
-            f" p -> named_struct('key', p.key, 'value', from_json(p.value, '{STRINGS}'))))"
+        has_groups = (
+            "fast IS NOT NULL OR coalesce(array_contains(map_keys(CASE root_name"
+            f" WHEN 'clinicalData' THEN {cd} ELSE {rd} END), 'itemGroupData'), FALSE)"
         )
         return (
-            self.docs.selectExpr(
-                "doc_id", "doc", "coalesce(json_object_keys(doc), array()) AS top_keys",
-                f"from_json(doc, 'clinicalData {STRINGS}, referenceData {STRINGS}') AS roots",
-            )
+            self.docs.selectExpr("doc_id", "doc", f"{typed} AS p", "coalesce(json_object_keys(doc), array()) AS top_keys")
+            .selectExpr("doc_id", "doc", "p", "top_keys", f"coalesce(p.end = md5(doc) AND json_object_keys({whole}) = array('doc', 'end'), FALSE) AS readable")
+            .selectExpr("*", f"CASE WHEN readable THEN {fast_pairs} END AS fast")
+            .selectExpr("*", f"CASE WHEN readable AND fast IS NULL THEN from_json(doc, 'clinicalData {STRINGS}, referenceData {STRINGS}') END AS roots")
             .selectExpr("*", f"{odd_clinical} AS odd_clinical")
-            .selectExpr("*", f"CASE WHEN size({cd}) > 0 THEN {cd} WHEN odd_clinical THEN NULL ELSE {rd} END AS root")
-            .selectExpr(
-                "*", f"{field('root', 'itemGroupData')} AS groups_text",
-                "coalesce(array_contains(map_keys(root), 'itemGroupData'), FALSE) AS has_groups",
-            )
-            .selectExpr("*", f"{pairs} AS raw_pairs")
+            .selectExpr("*", f"{root_name} AS root_name")
+            .selectExpr("*", f"{has_groups} AS has_groups")
+            .selectExpr("*", f"CASE WHEN fast IS NOT NULL THEN fast WHEN has_groups THEN {slow_pairs} END AS raw_pairs")
             .selectExpr("*", f"{root_class} AS root_class", f"{groups_class} AS groups_class")
             .selectExpr(
-                "doc_id",
-                "groups_text",
+                "doc_id", "doc", "root_name",
                 f"coalesce({unique_entries('raw_pairs')}, array()) AS pairs",
                 f"{found(self._top_level_hits())} AS doc_notes",
             )
@@ -104,26 +120,29 @@ class DatasetJson:
         )
 
     def _top_level_hits(self) -> list[Hit]:
-        rootless = "NOT array_contains(top_keys, 'clinicalData') AND NOT array_contains(top_keys, 'referenceData')"
+        rootless = "readable AND NOT array_contains(top_keys, 'clinicalData') AND NOT array_contains(top_keys, 'referenceData')"
         _, missing = X.DJ_TEXTS["DJ_000"]
+        # Nothing else can be said of a text that is no JSON document.
+        start = f"coalesce(substr(doc, 1, {X.EVIDENCE_CHARS}), 'None')"
         return [
+            self._note("NOT readable", X.DJ_UNREADABLE, "document", start),
             *[
                 self._note(
-                    f"NOT array_contains(top_keys, '{key}')", "DJ_000", key,
+                    f"readable AND NOT array_contains(top_keys, '{key}')", "DJ_000", key,
                     message_sql=quoted(missing.replace("%s", key)),
                 )
                 for key in X.DJ_TOP_LEVEL
             ],
             self._note(rootless, "DJ_001", "clinicalData/referenceData"),
-            self._note(f"NOT ({rootless}) AND root IS NULL", "DJ_002", "clinicalData/referenceData", "root_class"),
-            self._note("root IS NOT NULL AND NOT has_groups", "DJ_003", "itemGroupData"),
+            self._note(f"readable AND NOT ({rootless}) AND root_name IS NULL", "DJ_002", "clinicalData/referenceData", "root_class"),
+            self._note("root_name IS NOT NULL AND NOT has_groups", "DJ_003", "itemGroupData"),
             self._note(
-                "root IS NOT NULL AND has_groups AND raw_pairs IS NULL", "DJ_004", "itemGroupData", "groups_class"
+                "root_name IS NOT NULL AND has_groups AND raw_pairs IS NULL", "DJ_004", "itemGroupData", "groups_class"
             ),
         ]
 
     def validate_top_level(self) -> DataFrame:
-        """DJ_000 to DJ_004."""
+        """DJ_000 to DJ_004, or that the document cannot be read."""
         return unpack(self.parsed(), "doc_notes", ["doc_id"])
 
     def itemgroups(self) -> DataFrame:
@@ -136,14 +155,18 @@ class DatasetJson:
             "doc_id", f"inline(array({', '.join(self._target(d) for d in domains)}))"
         ).drop("infer")
 
+    def group_columns(self, domains: Sequence[str]) -> DataFrame:
+        """Per document and domain its OID and the column names of its items, in order."""
+        return self._groups([self._target(d) for d in domains], strict=False).select("doc_id", "domain", "oid", "item_names")
+
     # -- extraction --------------------------------------------------------------
 
     @staticmethod
     def _target(domain: str) -> str:
         """A dataset named like the domain, else the first key that ends in it or holds '.DOMAIN'."""
         wanted = domain.strip().upper()
-        name = field("p.value", "name")
-        by_name = f"filter(pairs, p -> p.value IS NOT NULL AND upper(coalesce({name}, '')) = {quoted(wanted)})"
+        name = f"CASE WHEN {variant_is('p.value.name', 'STRING')} THEN upper(variant_get(p.value.name, '$', 'string')) END"
+        by_name = f"filter(pairs, p -> p.value IS NOT NULL AND coalesce({name}, '') = {quoted(wanted)})"
         by_key = (
             f"filter(pairs, p -> endswith(upper(p.key), {quoted(wanted)})"
             f" OR contains(upper(p.key), {quoted('.' + wanted)}))"
@@ -153,77 +176,35 @@ class DatasetJson:
             f" 'oid', coalesce(get({by_name}, 0).key, get({by_key}, 0).key))"
         )
 
-    def _anchored(self, anchor: str | None) -> DataFrame:
-        """``parsed`` with two facts about one domain of the same document, for checks that hang on it."""
-        if anchor is None:
-            return self.parsed().selectExpr("*", "FALSE AS anchor_rows", "FALSE AS anchor_has_id")
-        is_list = is_class(f"({class_of_variant('v')})", "list")
-        # All items at once, or one by one where some are not objects.
-        items = (
-            f"CASE WHEN {_is_list('anchor_items')} THEN coalesce(from_json(anchor_items, '{_ITEMS}'),"
-            f" transform(from_json(anchor_items, '{LIST}'), x -> from_json(x, '{_ITEM}'))) END"
-        )
-        some_record = (
-            f"coalesce(exists(from_json(anchor_data, 'ARRAY<{LIST}>'), x -> x IS NOT NULL),"
-            f" exists(from_json(anchor_data, 'ARRAY<VARIANT>'), v -> {is_list}))"
-        )
+    @staticmethod
+    def _cut_out(oid: str) -> str:
+        """The group ``oid`` as (ds, text): the text only where items or records are not what they should be."""
+        ds = entry("pairs", oid)
+        text = entry(f"map_entries({_of_root(_texts('doc'))})", oid)
         return (
-            self.parsed()
-            .selectExpr("*", f"{self._target(anchor)}.oid AS anchor_oid")
-            .selectExpr("*", f"{entry('pairs', 'anchor_oid')} AS anchor_ds")
-            .selectExpr(
-                "*", f"{field('anchor_ds', 'items')} AS anchor_items", f"{field('anchor_ds', 'itemData')} AS anchor_data"
-            )
-            .selectExpr(
-                "doc_id", "groups_text", "pairs", "doc_notes",
-                f"{items} AS anchor_columns", f"coalesce({some_record}, FALSE) AS anchor_records",
-            )
-            .selectExpr(
-                "doc_id", "groups_text", "pairs", "doc_notes",
-                "coalesce(anchor_records AND exists(anchor_columns, x -> x IS NOT NULL), FALSE) AS anchor_rows",
-                f"coalesce(exists(anchor_columns, x -> {_item_name('x', '0')} = 'USUBJID'), FALSE) AS anchor_has_id",
-            )
+            f"transform(array({ds}), d -> named_struct('ds', d,"
+            f" 'text', CASE WHEN d IS NOT NULL AND NOT ({_sound('d')}) THEN {text} END))[0]"
         )
 
-    def _groups(self, targets: Sequence[str], strict: bool, anchor: str | None = None) -> DataFrame:
-        """One row per document and targeted group: its column names, its data as text, its findings."""
-        groups_raw = f"map_entries(from_json(groups_text, '{STRINGS}'))"
-        ds_text = f"({entry(groups_raw, 't.oid')})"
-        same = "'domain', t.domain, 'infer', t.infer, 'oid', t.oid"
-
-        def odd_class(text_: str, name: str) -> str:
-            return f"CASE WHEN t.found AND NOT {_is_list(text_)} THEN {class_of_field(ds_text, name)} END"
-
-        # The groups are cut out before the explode, so a row carries its own group and not the document.
-        cut_out = f"transform(array({', '.join(targets)}), t -> named_struct({same}, 'ds', {entry('pairs', 't.oid')}))"
-        as_texts = (
-            f"transform(groups, t -> named_struct({same}, 'found', t.ds IS NOT NULL,"
-            f" 'items_text', {field('t.ds', 'items')}, 'data_text', {field('t.ds', 'itemData')}))"
-        )
-        with_classes = (
-            f"transform(groups, t -> named_struct({same}, 'found', t.found, 'items_text', t.items_text,"
-            f" 'data_text', t.data_text, 'items_class', {odd_class('t.items_text', 'items')},"
-            f" 'data_class', {odd_class('t.data_text', 'itemData')}))"
-        )
+    @staticmethod
+    def _with_items(rows: DataFrame) -> DataFrame:
+        """Rows with ``g`` of ``_cut_out``: adds items_ok, no_items, item_classes and item_names."""
         # Fast path: every item is an object. Otherwise each one is looked at alone.
-        items = f"CASE WHEN {_is_list('items_text')} THEN from_json(items_text, '{_ITEMS}') END"
-        raw_items = f"CASE WHEN {_is_list('items_text')} AND NOT items_ok THEN from_json(items_text, '{LIST}') END"
-        item_classes = (
-            f"CASE WHEN items_ok THEN array()"
-            f" WHEN raw_items IS NOT NULL"
-            f" THEN transform(from_json(items_text, 'ARRAY<VARIANT>'), v -> {class_of_variant('v')})"
+        odd_classes = (
+            f"CASE WHEN items_ok OR g.text IS NULL THEN array()"
+            f" WHEN odd_items IS NOT NULL THEN transform(odd_items, v -> {class_of_variant('v')})"
             # Walking an object yields its keys, walking a text its characters.
             f" WHEN {is_class('items_class', 'dict')}"
-            f" THEN transform(array_distinct(json_object_keys(items_text)), k -> {quoted(_STR)})"
-            f" WHEN {is_class('items_class', 'str')} THEN array_repeat({quoted(_STR)}, length(items_text))"
+            f" THEN transform(array_distinct(json_object_keys(from_json(g.text, 'items STRING').items)), k -> {quoted(_STR)})"
+            f" WHEN {is_class('items_class', 'str')} THEN array_repeat({quoted(_STR)}, length(from_json(g.text, 'items STRING').items))"
             f" ELSE array() END"
         )
-        each = f"transform(raw_items, x -> from_json(x, '{_ITEM}'))"
         names = (
-            f"CASE WHEN items_ok THEN transform(items, (x, i) -> {_item_name('x', 'i')})"
-            " WHEN raw_items IS NULL THEN array()"
-            f" ELSE transform(filter(transform({each}, (x, i) -> named_struct('n', {_item_name('x', 'i')},"
-            f" 'c', item_classes[i])), z -> {is_class('z.c', 'dict')}), z -> z.n) END"
+            f"CASE WHEN items_ok THEN transform(g.ds.items, (x, i) -> {_item_name('x.name', 'x.OID', 'i')})"
+            " WHEN odd_items IS NULL THEN array()"
+            " ELSE transform(filter(transform(odd_items, (v, i) -> named_struct('n',"
+            f" {_item_name(_part('v', 'name'), _part('v', 'OID'), 'i')}, 'c', item_classes[i])),"
+            f" z -> {is_class('z.c', 'dict')}), z -> z.n) END"
         )
         # A repeated column name gets its number appended; later names keep their place.
         distinct_names = (
@@ -231,25 +212,52 @@ class DatasetJson:
             " CASE WHEN i > 0 AND array_contains(slice(names, 1, i), x)"
             " THEN concat(x, '_', 1 + size(filter(slice(names, 1, i), y -> y = x))) ELSE x END) END"
         )
-        carried = ["doc_id", "anchor_rows", "anchor_has_id", "doc_notes", "all_oids"]
         return (
-            self._anchored(anchor)
-            .selectExpr(
-                "doc_id", "anchor_rows", "anchor_has_id", "doc_notes",
-                "array_join(transform(pairs, p -> p.key), ';') AS all_oids", "groups_text", f"{cut_out} AS groups",
-            )
-            .selectExpr(*carried, "groups_text", f"{as_texts} AS groups")
-            .selectExpr(*carried, f"posexplode({with_classes}) AS (nth, t)")
-            .selectExpr(*carried[:3], "CASE WHEN nth = 0 THEN doc_notes ELSE array() END AS doc_notes", "all_oids", "t.*")
-            .selectExpr("*", f"{items} AS items", f"NOT {_is_list('data_text')} AS no_data")
-            .selectExpr("*", "coalesce(NOT exists(items, x -> x IS NULL), FALSE) AS items_ok")
-            .selectExpr("*", f"{raw_items} AS raw_items")
-            .selectExpr("*", "coalesce(size(items), size(raw_items), 0) = 0 AS no_items")
-            .selectExpr("*", f"{item_classes} AS item_classes")
+            rows.selectExpr("*", f"coalesce({_all_there('g.ds.items')}, FALSE) AS items_ok")
+            .selectExpr("*", "CASE WHEN NOT items_ok THEN from_json(g.text, 'items ARRAY<VARIANT>').items END AS odd_items")
+            .selectExpr("*", "CASE WHEN items_ok THEN size(g.ds.items) ELSE coalesce(size(odd_items), 0) END = 0 AS no_items")
+            .selectExpr("*", f"CASE WHEN g.text IS NOT NULL AND NOT items_ok AND odd_items IS NULL THEN {class_of_field('g.text', 'items')} END AS items_class")
+            .selectExpr("*", f"{odd_classes} AS item_classes")
             .selectExpr("*", f"{names} AS names")
             .selectExpr("*", f"{distinct_names} AS item_names")
+            .drop("odd_items", "items_class", "names")
+        )
+
+    def _anchored(self, anchor: str | None) -> DataFrame:
+        """``parsed`` with two facts about one domain of the same document, for checks that hang on it."""
+        kept = ["doc_id", "doc", "root_name", "pairs", "doc_notes"]
+        if anchor is None:
+            return self.parsed().selectExpr(*kept, "FALSE AS anchor_rows", "FALSE AS anchor_has_id")
+        usable = (
+            f"CASE WHEN {_all_there('g.ds.itemData')} THEN size(g.ds.itemData) > 0"
+            f" ELSE exists(from_json(g.text, 'itemData ARRAY<VARIANT>').itemData, v -> {is_class(f'({class_of_variant("v")})', 'list')}) END"
+        )
+        with_group = self.parsed().selectExpr(*kept, f"{self._target(anchor)}.oid AS anchor_oid")
+        return self._with_items(with_group.selectExpr(*kept, f"{self._cut_out('anchor_oid')} AS g")).selectExpr(
+            *kept,
+            f"coalesce({usable}, FALSE) AND size(item_names) > 0 AS anchor_rows",
+            "array_contains(item_names, 'USUBJID') AS anchor_has_id",
+        )
+
+    def _groups(self, targets: Sequence[str], strict: bool, anchor: str | None = None) -> DataFrame:
+        """One row per document and targeted group: its column names, its records, its findings."""
+        # The groups are cut out before the explode, so a row carries its own group and not the document.
+        cut_out = f"transform(array({', '.join(targets)}), t -> named_struct('domain', t.domain, 'infer', t.infer, 'oid', t.oid, 'g', {self._cut_out('t.oid')}))"
+        carried = ["doc_id", "anchor_rows", "anchor_has_id", "doc_notes", "all_oids"]
+        rows = (
+            self._anchored(anchor)
+            .selectExpr(*carried[:4], "array_join(transform(pairs, p -> p.key), ';') AS all_oids", f"{cut_out} AS groups")
+            .selectExpr(*carried, "posexplode_outer(groups) AS (nth, t)")
+            .selectExpr(*carried[:3], "CASE WHEN nth = 0 THEN doc_notes ELSE array() END AS doc_notes", "all_oids", "t.*")
+            .selectExpr("*", "g.ds IS NOT NULL AS found")
+        )
+        return (
+            self._with_items(rows)
+            .selectExpr("*", f"coalesce({_all_there('g.ds.itemData')}, FALSE) AS data_ok")
+            .selectExpr("*", "NOT data_ok AND coalesce(from_json(g.text, 'itemData ARRAY<STRING>').itemData IS NULL, TRUE) AS no_data")
+            .selectExpr("*", f"CASE WHEN found AND no_data THEN {class_of_field('g.text', 'itemData')} END AS data_class")
             .selectExpr(
-                "doc_id", "domain", "oid", "anchor_rows", "anchor_has_id", "item_names", "data_text",
+                "doc_id", "domain", "oid", "anchor_rows", "anchor_has_id", "item_names", "g", "data_ok",
                 f"size(item_names) > 0 AND NOT no_data{' AND NOT no_items' if strict else ''} AS has_data",
                 f"concat(doc_notes, {self._group_notes(strict)}) AS group_notes",
             )
@@ -263,16 +271,14 @@ class DatasetJson:
         first row, so a single pass over the documents yields data and findings alike.
         """
         # Fast path: every record is an array. Otherwise kinds are told per record.
-        arrays = f"CASE WHEN has_data THEN from_json(data_text, 'ARRAY<{LIST}>') END"
-        sound = "arrays IS NOT NULL AND NOT exists(arrays, x -> x IS NULL)"
         told = (
-            f"transform(zip_with(from_json(data_text, '{LIST}'), from_json(data_text, 'ARRAY<VARIANT>'),"
+            "transform(zip_with(from_json(g.text, 'itemData ARRAY<STRING>').itemData, from_json(g.text, 'itemData ARRAY<VARIANT>').itemData,"
             f" (t, v) -> named_struct('t', t, 'kind', {class_of_variant('v')})), (z, i) -> named_struct('src_index', i,"
             f" 'kind', z.kind, 'cells', CASE WHEN {is_class('z.kind', 'list')} THEN from_json(z.t, '{LIST}') END))"
         )
         usable = is_class("r.kind", "list")
         rows = (
-            f"CASE WHEN sound THEN transform(arrays, (x, i) -> {_row('i', 'i', 'x', quoted(_LIST))}) ELSE concat("
+            f"CASE WHEN NOT has_data THEN array() WHEN data_ok THEN transform(g.ds.itemData, (x, i) -> {_row('i', 'i', 'x', quoted(_LIST))}) ELSE concat("
             f"transform(filter(told, r -> {usable}), (r, j) -> {_row('j', 'r.src_index', 'r.cells', 'r.kind')}),"
             f" transform(filter(told, r -> NOT {usable}),"
             f" r -> {_row('CAST(NULL AS INT)', 'r.src_index', 'CAST(NULL AS ARRAY<STRING>)', 'r.kind')})) END"
@@ -286,9 +292,7 @@ class DatasetJson:
         group = ["doc_id", "domain", "oid", "anchor_rows", "anchor_has_id", "item_names"]
         return (
             self._groups(targets, strict, anchor)
-            .selectExpr("*", f"{arrays} AS arrays")
-            .selectExpr("*", f"{sound} AS sound")
-            .selectExpr(*group, "group_notes", "arrays", "sound", f"CASE WHEN has_data AND NOT sound THEN {told} END AS told")
+            .selectExpr(*group, "group_notes", "g", "has_data", "data_ok", f"CASE WHEN has_data AND NOT data_ok THEN {told} END AS told")
             .selectExpr(*group, "group_notes", f"posexplode_outer({rows}) AS (pos, rec)")
             .selectExpr(
                 *group, "CAST(rec.row_index AS BIGINT) AS row_index", "CAST(rec.src_index AS BIGINT) AS src_index",
@@ -391,21 +395,48 @@ def column_names(groups: DataFrame) -> list[str]:
 
 
 _LIST, _STR = (f"<class '{kind}'>" for kind in ("list", "str"))
-_ITEM = "name STRING, OID STRING"
-_ITEMS = f"ARRAY<STRUCT<{_ITEM}>>"
+# What a dataset should be; names keep their kind, cells become text.
+_DATASET_FIELDS = "name VARIANT, items ARRAY<STRUCT<name: VARIANT, OID: VARIANT>>, itemData ARRAY<ARRAY<STRING>>"
+_DATASET_MAP = f"MAP<STRING, STRUCT<{_DATASET_FIELDS}>>"
+# As strict as JSON itself.
+_STRICT = "map('allowSingleQuotes', 'false')"
+
+
+def _roots(groups: str) -> str:
+    """Schema of a document whose item groups have the type ``groups``."""
+    return f"clinicalData STRUCT<itemGroupData: {groups}>, referenceData STRUCT<itemGroupData: {groups}>"
+
+
+def _texts(doc: str) -> str:
+    """Item groups as texts; a text that stands where a group should be is told by its kind elsewhere."""
+    return f"from_json({doc}, '{_roots('MAP<STRING, STRING>')}')"
+
+
+def _of_root(roots: str) -> str:
+    return f"transform(array({roots}), r -> CASE root_name WHEN 'clinicalData' THEN r.clinicalData.itemGroupData ELSE r.referenceData.itemGroupData END)[0]"
+
+
+def _all_there(array: str) -> str:
+    return f"({array} IS NOT NULL AND NOT exists({array}, x -> x IS NULL))"
+
+
+def _sound(ds: str) -> str:
+    """Whether items and records are arrays of what they should be."""
+    return f"{_all_there(f'{ds}.items')} AND {_all_there(f'{ds}.itemData')}"
 
 
-def _is_list(json_text: str) -> str:
-    """``from_json`` writes nested values without spaces, so the first character tells."""
-    return f"coalesce(startswith({json_text}, '['), FALSE)"
+def _part(v: str, name: str) -> str:
+    return f"try_variant_get({v}, '$.{name}', 'variant')"
 
 
 def _named_group(oid: str) -> str:
     return f"named_struct('domain', {quoted(oid)}, 'infer', FALSE, 'oid', {quoted(oid)})"
 
 
-def _item_name(item: str, index: str) -> str:
-    return f"coalesce(nullif({item}.name, ''), nullif({item}.OID, ''), concat('COL_', {index}))"
+def _item_name(name: str, oid: str, index: str) -> str:
+    """The first of the two that is neither missing nor empty, zero or false; else a name by place."""
+    usable = f"filter(array({name}, {oid}), w -> {truthy_variant('w')})"
+    return f"coalesce(get(transform({usable}, w -> {text_of_variant('w')}), 0), concat('COL_', {index}))"
 
 
 def _filled(message: str, column: str) -> str:

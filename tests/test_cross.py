@@ -13,14 +13,13 @@ from studylens.plans.domains import duplicate_subjects
 
 
 def test_dm_link(spark):
-    dm = spark.createDataFrame([("SUBJ001",), ("SUBJ002",), ("SUBJ003",)], "USUBJID STRING")
-    vs = spark.createDataFrame(
-        [("SUBJ001", "HR", "BASELINE"), ("SUBJ004", "BP", "WEEK 1")], "USUBJID STRING, VSTESTCD STRING, VISIT STRING"
-    )
-    (row,) = sl.validate_dm_link(dm, vs, "VS").collect()
-    assert (row.rule_id, row.severity, row.usubjid, row.evidence) == ("X_DMLINK_VS_001", "HIGH", "SUBJ004", "SUBJ004")
-    assert (row.finding_type, row.domain) == ("CROSS_DOMAIN", "CROSS")
-    assert row.message == "VS subject not found in DM (orphan USUBJID)."
+    dm = spark.createDataFrame([("q2",), ("q1",)], "USUBJID STRING")
+    cm = spark.createDataFrame([("iron", "q1"), ("zinc", "q8"), ("iron", "q2"), ("zinc", "q8")], "CMTRT STRING, USUBJID STRING")
+    rows = sl.validate_dm_link(dm, cm, "CM").collect()
+    assert sorted((r.rule_id, r.severity, r.usubjid, r.evidence) for r in rows) == [("X_DMLINK_CM_001", "HIGH", "q8", "q8")] * 2
+    assert {(r.finding_type, r.domain, r.message) for r in rows} == {
+        ("CROSS_DOMAIN", "CROSS", "CM subject not found in DM (orphan USUBJID)."),
+    }
 
 
 def test_dm_link_of_any_domain(table, hits):

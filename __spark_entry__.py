@@ -20,6 +20,7 @@ from studylens.rules import texts as X  # noqa: E402
 from studylens.sources.dataset_json import findings_of  # noqa: E402
 from studylens.sources.views import study_documents, view, view_of, view_sql  # noqa: E402
 from studylens.streaming.findings import stream_row_findings, write_stream  # noqa: E402
+from studylens.streaming.keyed import settled, state_store, stream_duplicates, stream_links  # noqa: E402
 
 BLOCK = 100  # row numbers per document
 CODED_FIELDS = {"sdtm_dm": ["SEX"], "sdtm_vs": ["VSTESTCD"], "sdtm_ae": ["AESER", "AESEV"]}
@@ -158,6 +159,33 @@ def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(findings.schema).parquet(f"{out}/rows").select(*findings.columns)
 
 
+BATCHES = 4
+
+
+def _in_batches(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A view as a stream of several batches, later rows first."""
+    folder, rows = _own_folder(spark, name), view(spark, sf, name)
+    for part in range(BATCHES):
+        rows.filter(f"row_index % {BATCHES} = {BATCHES - 1 - part}").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _to_the_end(findings: DataFrame) -> DataFrame:
+    spark = findings.sparkSession
+    out = _own_folder(spark, "stream")
+    with state_store(spark):
+        write_stream(findings, f"{out}/rows", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(findings.schema).parquet(f"{out}/rows").select(*findings.columns)
+
+
+def _duplicates_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    return _to_the_end(stream_duplicates(_in_batches(spark, sf, "sdtm_dm")))
+
+
+def _links_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    return settled(_to_the_end(stream_links(_in_batches(spark, sf, "sdtm_dm"), _in_batches(spark, sf, "sdtm_ae"), "AE")))
+
+
 def _row_index(spark: SparkSession, sf: str) -> DataFrame:
     table = spark.read.parquet(f"{sf}/orders.parquet")
     return sl.with_row_index(table, from_files=True).select("row_index", "o_orderkey")
@@ -287,6 +315,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vs_row_rules": on("sdtm_vs", sl.validate_vs),
         "ae_row_rules": on("sdtm_ae", sl.validate_ae),
         "ae_row_rules_streamed": _streamed,
+        "dm_duplicates_streamed": _duplicates_streamed,
+        "dm_link_streamed": _links_streamed,
         "cm_row_rules": on("sdtm_cm", sl.validate_cm),
         "dm_rules_sdtm": on("sdtm_dm", lambda dm: validate_rows(dm, "DM", "sdtm")),
         "dm_rules_domain": on("sdtm_dm", lambda dm: sl.validate_dm(dm, "domain")),
@@ -773,6 +803,8 @@ def oracle_sql() -> dict[str, str]:
         "vs_row_rules": _with(["sdtm_vs"], _rules("VS")),
         "ae_row_rules": _with(["sdtm_ae"], _rules("AE")),
         "ae_row_rules_streamed": _with(["sdtm_ae"], _rules("AE")),
+        "dm_duplicates_streamed": _with(["sdtm_dm"], _duplicates("all")),
+        "dm_link_streamed": _with(["sdtm_dm", "sdtm_ae"], _orphans("X_DMLINK_AE_001", _link_text("AE"), "ae", "dm")),
         "cm_row_rules": _with(["sdtm_cm"], _rules("CM")),
         "dm_rules_sdtm": _with(["sdtm_dm"], _rules("DM_SDTM")),
         "dm_rules_domain": _with(["sdtm_dm"], f"{_rules('DM_DOMAIN')} UNION ALL {_duplicates('all', blank_is_a_key=False)}"),

@@ -1,6 +1,6 @@
-"""Row rules and DM links on a stream of records, with the same rules as in batch.
+"""Row rules, and links to a given DM table, on a stream of records, with the same rules as in batch.
 
-Uniqueness and date windows need the whole table and stay batch checks.
+Uniqueness, and links to demographics that arrive as a stream, are in ``keyed``; date windows stay batch checks.
 """
 
 from __future__ import annotations
@@ -21,20 +21,20 @@ from ..rules import texts as X
 SLICES = 16
 
 
-def _require_row_index(rows: DataFrame) -> None:
+def require_row_index(rows: DataFrame) -> None:
     if ROW_INDEX not in rows.columns:
         raise ValueError(f"a stream needs its own {ROW_INDEX}: positions cannot be counted while rows arrive")
 
 
 def stream_row_findings(rows: DataFrame, domain: str, dm_profile: str = "sdtm") -> DataFrame:
     """The domain's row rules; stateless, so findings appear with the rows."""
-    _require_row_index(rows)
+    require_row_index(rows)
     return validate_rows(rows, domain, dm_profile)
 
 
 def stream_dm_link(rows: DataFrame, dm: DataFrame, domain: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Arriving rows whose subject a given (static) DM table does not know."""
-    _require_row_index(rows)
+    require_row_index(rows)
     keys = materialize(dm.selectExpr(f"{text('USUBJID')} AS USUBJID").dropna().distinct(), "dm-keys")
     rows = rows.selectExpr(ROW_INDEX, f"{text('USUBJID')} AS USUBJID")
     if total_bytes(keys)[0] <= broadcast_bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, joined, text
 from ..operators.findings import Hit, dataset_finding, emit, merge
-from ..operators.keyed import rows_of_keys, total_bytes
+from ..operators.keyed import BROADCAST_BYTES, rows_of_keys, total_bytes
 from ..operators.materialize import materialize
 from ..operators.rowid import ROW_INDEX, with_row_index
 from ..rules import texts as X
@@ -79,13 +79,14 @@ def _measure(name: str, domain: str) -> str | None:
         f"{domain}_first": f"min({domain}_start)",
         f"{domain}_latest_start": f"max({domain}_start)",
         f"{domain}_last": f"max({domain}_end)",
+        f"{domain}_least_row": f"min({domain}_row)",
     }.get(name)
 
 
 def subject_profile(
     rows: Mapping[str, DataFrame], measures: Sequence[str], on: Sequence[str] = ("USUBJID",)
 ) -> DataFrame:
-    """One row per subject with the measures asked for: ``n_VS``, ``VS_first``, ``VS_latest_start``, ``VS_last``.
+    """One row per subject with the measures asked for: ``n_VS``, ``VS_first``, ``VS_latest_start``, ``VS_last``, ``VS_least_row``.
 
     One aggregation over the union of all domains, in place of a distinct or a
     group-by per check; it is combined map-side, so hot subjects cost nothing extra.
@@ -95,7 +96,7 @@ def subject_profile(
     start, end = iso_date("_raw"), iso_date("_raw_end")
     parts = [
         df.filter("USUBJID IS NOT NULL").selectExpr(
-            *on, f"1 AS in_{d}", f"{start} AS {d}_start", f"CASE WHEN ({start}) IS NOT NULL THEN {end} END AS {d}_end"
+            *on, f"1 AS in_{d}", f"{ROW_INDEX} AS {d}_row", f"{start} AS {d}_start", f"CASE WHEN ({start}) IS NOT NULL THEN {end} END AS {d}_end"
         )
         for d, df in rows.items()
     ]
@@ -169,20 +170,11 @@ def dm_link_rule(domain: str) -> CrossRule:
     return orphan_rule(f"X_DMLINK_{domain}_001", domain, "DM")
 
 
-def study_cross_findings(
-    tables: Mapping[str, DataFrame],
-    dm_links: Sequence[str] = (),
-    vs_ae: bool = False,
-    vs_cm: bool = False,
-    tolerance_days: int = 0,
-    broadcast_bytes: int | None = None,
-) -> DataFrame:
-    """The chosen cross checks together, over one subject profile.
-
-    A check whose columns are missing yields its ``_000`` finding instead.
-    """
+def planned_rules(
+    tables: Mapping[str, DataFrame], dm_links: Sequence[str] = (), vs_ae: bool = False, vs_cm: bool = False, tolerance_days: int = 0
+) -> tuple[list[CrossRule], list[DataFrame]]:
+    """(rules of the chosen checks, ``_000`` findings of those whose columns are missing)."""
     spark = next(iter(tables.values())).sparkSession
-    tables = {domain: with_row_index(df) for domain, df in tables.items()}
     rules: list[CrossRule] = []
     parts: list[DataFrame] = []
 
@@ -200,11 +192,83 @@ def study_cross_findings(
     if vs_cm:
         has_end = "CMENDTC" in tables["CM"].columns
         add("X_VSCM_000", {"VS": ["USUBJID", "VSDTC"], "CM": ["USUBJID", "CMSTDTC"]}, vs_cm_rules(has_end))
+    return rules, parts
+
+
+def study_cross_findings(
+    tables: Mapping[str, DataFrame],
+    dm_links: Sequence[str] = (),
+    vs_ae: bool = False,
+    vs_cm: bool = False,
+    tolerance_days: int = 0,
+    broadcast_bytes: int | None = None,
+) -> DataFrame:
+    """The chosen cross checks together, over one subject profile.
+
+    A check whose columns are missing yields its ``_000`` finding instead.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    tables = {domain: with_row_index(df) for domain, df in tables.items()}
+    rules, parts = planned_rules(tables, dm_links, vs_ae, vs_cm, tolerance_days)
     if rules:
         parts.append(cross_findings(tables, rules, broadcast_bytes=broadcast_bytes))
     return merge(spark, parts)
 
 
+@dataclass(frozen=True)
+class OwnRules:
+    """What the rows of one domain are judged by besides cross rules: hits, and the columns these need.
+
+    ``repeated`` is a hit for rows of subjects that have more than one row; it may use n_DOMAIN and DOMAIN_least_row.
+    """
+
+    hits: Sequence[Hit]
+    needs: Sequence[str]
+    repeated: Hit | None = None
+
+
+def fused_findings(
+    tables: Mapping[str, DataFrame], rules: Sequence[CrossRule], own: Mapping[str, OwnRules], broadcast_bytes: int | None = None
+) -> DataFrame:
+    """Row rules, repeated subjects and cross rules of all domains: two scans of each table.
+
+    The first scan makes the subject profile, the second judges every row, with what the profile says of its subject
+    where that subject breaks a rule. Where those subjects are too many to broadcast, their rows are fetched apart.
+    """
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    needed = {r.of for r in rules} | {r.against for r in rules} | {d for d, o in own.items() if o.repeated}
+    named = {d: _subject_rows(tables[d], d, ["USUBJID"]) for d in tables if d in needed}
+    measures = [m for r in rules for m in (f"n_{r.of}", *r.measures)]
+    measures += [m for d, o in own.items() if o.repeated for m in (f"n_{d}", f"{d}_least_row")]
+    conditions = {}
+    for d in named:
+        checks = [f"({r.subject})" for r in rules if r.of == d] + [f"n_{d} > 1"] * bool(own[d].repeated)
+        if checks:
+            conditions[d] = f"n_{d} > 0 AND ({' OR '.join(checks)})"
+    parts = []
+    profile = sizes = None
+    if conditions:
+        profile = materialize(subject_profile(named, measures), "subjects")
+        sizes = dict(zip(conditions, total_bytes(profile, list(conditions.values())), strict=True))
+    for d, table in tables.items():
+        wanted = [c for c in dict.fromkeys(own[d].needs) if c in table.columns and c != "USUBJID"]
+        dated = text(START_DATE[d]) if START_DATE.get(d) in table.columns else "CAST(NULL AS STRING)"
+        subject = [f"{text('USUBJID')} AS USUBJID"] if "USUBJID" in table.columns else []
+        rows = table.selectExpr(ROW_INDEX, *subject, *[f"`{c}`" for c in wanted], f"{dated} AS _raw")
+        # A null id matches nothing, so its rows are orphans by definition.
+        hits = [*own[d].hits, *[_hit(r, "USUBJID IS NULL") for r in rules if r.of == d and r.orphan]]
+        by_subject = [_hit(r, r.row) for r in rules if r.of == d] + [own[d].repeated] * bool(own[d].repeated)
+        if d in conditions and sizes[d] <= limit:
+            suspects = profile.filter(conditions[d]).withColumnRenamed("USUBJID", "_subject")
+            rows = rows.join(F.broadcast(suspects), F.col("USUBJID") == F.col("_subject"), "left")
+            hits += by_subject
+        elif d in conditions:
+            fetched = rows_of_keys(rows, profile.filter(conditions[d]), ["USUBJID"], f"n_{d}", sizes[d], limit)
+            parts.append(emit(fetched, by_subject))
+        parts.append(emit(rows, hits))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def validate_dm_link(dm: DataFrame, other: DataFrame, other_domain: str) -> DataFrame:
     """Subjects of one domain that demographics does not know."""
     return study_cross_findings({"DM": dm, other_domain: other}, dm_links=[other_domain])

@@ -61,12 +61,12 @@ def duplicate_subjects(
     groups = ids.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"), F.min(ROW_INDEX).alias("_first"))
     repeated = materialize(groups.filter("_rows > 1"), "duplicate-keys")
     rows = rows_of_keys(ids, repeated, on, weight="_rows", broadcast_bytes=broadcast_bytes)
+    return emit(rows, [duplicate_hit("TRUE" if mode == "all" else f"{ROW_INDEX} > _first")], [c for c in on if c != "USUBJID"])
+
+
+def duplicate_hit(mask: str) -> Hit:
     severity, field, message = X.DM_SDTM_TEXTS["SDTM_DM_002"]
-    mask = "TRUE" if mode == "all" else f"{ROW_INDEX} > _first"
-    hit = Hit(
-        mask, X.SDTM_RULE, "SDTM_DM_002", severity, "DM", field, message, ROW_INDEX, "USUBJID", "USUBJID"
-    )
-    return emit(rows, [hit], [c for c in on if c != "USUBJID"])
+    return Hit(mask, X.SDTM_RULE, "SDTM_DM_002", severity, "DM", field, message, ROW_INDEX, "USUBJID", "USUBJID")
 
 
 def _required_columns_finding(df: DataFrame, domain: str) -> DataFrame | None:
@@ -81,26 +81,42 @@ def _required_columns_finding(df: DataFrame, domain: str) -> DataFrame | None:
     )
 
 
-def _validate_events(df: DataFrame, domain: str) -> DataFrame:
-    fatal = _required_columns_finding(df, domain)
-    return fatal if fatal is not None else validate_rows(with_row_index(df), domain)
+def table_notes(df: DataFrame, domain: str, dm_profile: str = "sdtm") -> tuple[list[DataFrame], bool]:
+    """(findings about the table as a whole, whether its rows can be judged)."""
+    spark = df.sparkSession
+    if domain != "DM" or dm_profile == "domain":
+        fatal = _required_columns_finding(df, domain)
+        if fatal is not None:
+            return [fatal], False
+    if domain == "VS" and "VSORRESU" not in df.columns:
+        severity, field, message = X.VS_UNIT_COLUMN_ABSENT
+        return [dataset_finding(spark, X.SDTM_RULE, "SDTM_VS_005", severity, "VS", field, message)], True
+    if domain == "DM" and "USUBJID" not in df.columns:
+        severity, field, message = X.DM_SDTM_NO_USUBJID
+        return [dataset_finding(spark, X.SDTM_RULE, "SDTM_DM_001", severity, "DM", field, message)], True
+    return [], True
+
+
+def _validate_table(df: DataFrame, domain: str, dm_profile: str = "sdtm", duplicates: str = "all") -> DataFrame:
+    notes, judged = table_notes(df, domain, dm_profile)
+    if judged:
+        df = with_row_index(df)
+        notes.append(validate_rows(df, domain, dm_profile))
+        if domain == "DM" and "USUBJID" in df.columns:
+            notes.append(duplicate_subjects(df, duplicates, blank_is_a_key=dm_profile == "sdtm"))
+    return merge(df.sparkSession, notes)
 
 
 def validate_vs(vs: DataFrame) -> DataFrame:
-    found = _validate_events(vs, "VS")
-    if "VSORRESU" in vs.columns or missing_columns(vs.columns, X.REQUIRED["VS"]):
-        return found
-    severity, field, message = X.VS_UNIT_COLUMN_ABSENT
-    note = dataset_finding(vs.sparkSession, X.SDTM_RULE, "SDTM_VS_005", severity, "VS", field, message)
-    return found.unionByName(note)
+    return _validate_table(vs, "VS")
 
 
 def validate_ae(ae: DataFrame) -> DataFrame:
-    return _validate_events(ae, "AE")
+    return _validate_table(ae, "AE")
 
 
 def validate_cm(cm: DataFrame) -> DataFrame:
-    return _validate_events(cm, "CM")
+    return _validate_table(cm, "CM")
 
 
 def validate_dm(dm: DataFrame, profile: str = "sdtm", duplicates: str = "all") -> DataFrame:
@@ -109,16 +125,4 @@ def validate_dm(dm: DataFrame, profile: str = "sdtm", duplicates: str = "all") -
     ``sdtm`` is what the study jobs run; ``domain`` also checks AGEU, RFENDTC and the
     order of the reference dates, and treats a missing STUDYID column as fatal.
     """
-    spark = dm.sparkSession
-    if profile == "domain":
-        fatal = _required_columns_finding(dm, "DM")
-        if fatal is not None:
-            return fatal
-    dm = with_row_index(dm)
-    parts = [validate_rows(dm, "DM", profile)]
-    if "USUBJID" in dm.columns:
-        parts.append(duplicate_subjects(dm, duplicates, blank_is_a_key=profile == "sdtm"))
-    else:
-        severity, field, message = X.DM_SDTM_NO_USUBJID
-        parts.append(dataset_finding(spark, X.SDTM_RULE, "SDTM_DM_001", severity, "DM", field, message))
-    return merge(spark, parts)
+    return _validate_table(dm, "DM", profile, duplicates)

@@ -1,5 +1,7 @@
 """Whole studies from CSV, with every finding known."""
 
+import random
+
 import pytest
 
 import studylens as sl
@@ -133,3 +135,66 @@ def test_codelists(spark, table, tmp_path):
     (tmp_path / "own.json").write_text('{\n "OTHER": ["a", "b", "c"]\n}')
     own = sl.read_codelists(spark, str(tmp_path / "own.json"))
     assert [tuple(r) for r in sl.codelist_violations(ae, own, ["OTHER"]).collect()] == [(3, "OTHER", "d")]
+
+
+def study_of(spark, folder, rows=400):
+    """A study with every kind of finding, from Parquet, one subject holding a third of the rows."""
+    rng = random.Random(11)
+
+    def subject(i):
+        return rng.choice([None, "HOT", "HOT", "HOT", f"S{i % 40}", f"S{i % 40}", f"X{i % 7}", " "])
+
+    def day():
+        return rng.choice([None, "2024-13-01", f"2024-01-{rng.randrange(1, 29):02d}", f"2024-02-{rng.randrange(1, 29):02d}"])
+
+    columns = {
+        "dm": ("STUDYID USUBJID SEX AGE AGEU RFSTDTC RFENDTC", lambda i: ("T", f"S{i % 90}" if i % 9 else rng.choice(["", None, "HOT"]), rng.choice("MFUQ"), str(i % 140), rng.choice([None, "YEARS", "WEEKS"]), day(), day())),
+        "vs": ("USUBJID VSTESTCD VSORRES VSORRESU VSDTC", lambda i: (subject(i), rng.choice(["HR", "TEMP", "ODD"]), rng.choice(["1", "x", None]), rng.choice(["bpm", "C", None]), day())),
+        "ae": ("USUBJID AETERM AESTDTC AEENDTC AESER AESEV", lambda i: (subject(i), rng.choice(["a", " "]), day(), day(), rng.choice("YNx"), "MILD")),
+        "cm": ("USUBJID CMTRT CMSTDTC CMENDTC", lambda i: (subject(i), rng.choice(["a", None]), day(), day())),
+    }
+    tables = {}
+    for name, (names, row) in columns.items():
+        schema = ", ".join(["row_index BIGINT", *(f"{c} STRING" for c in names.split()), "n_VS STRING", "_subject STRING"])
+        data = [(i, *row(i), "x", "y") for i in range(rows)]  # names that are used inside
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(str(folder / name))
+        tables[name] = spark.read.parquet(str(folder / name))
+    return tables
+
+
+@pytest.mark.parametrize("profile", ["sdtm", "domain"])
+@pytest.mark.parametrize("mode", ["all", "repeat"])
+def test_study_equals_its_parts(spark, tmp_path, profile, mode):
+    t = study_of(spark, tmp_path)
+    parts = sl.merge(
+        spark,
+        [
+            sl.validate_dm(t["dm"], profile, mode), sl.validate_vs(t["vs"]), sl.validate_ae(t["ae"]), sl.validate_cm(t["cm"]),
+            *[sl.validate_dm_link(t["dm"], t[d], d.upper()) for d in ("vs", "ae", "cm")], sl.validate_vs_ae(t["vs"], t["ae"]), sl.validate_vs_cm(t["vs"], t["cm"]),
+        ],
+    )
+    expected = sorted(map(str, parts.collect()))
+    assert len({r.rule_id for r in parts.select("rule_id").distinct().collect()}) > 20
+    for limit in (None, 0):
+        assert sorted(map(str, sl.validate_study(**t, dm_profile=profile, duplicates=mode, broadcast_bytes=limit).collect())) == expected
+
+
+def test_study_with_columns_missing(spark, tmp_path):
+    t = study_of(spark, tmp_path, 60)
+    t = {"dm": t["dm"].drop("USUBJID"), "vs": t["vs"].drop("VSORRESU"), "ae": t["ae"].drop("AESTDTC"), "cm": t["cm"].drop("CMENDTC")}
+    found = {r.rule_id for r in sl.validate_study(**t).filter("row_index = -1").collect()}
+    assert found == {"SDTM_DM_001", "SDTM_VS_005", "SDTM_AE_000", "X_DMLINK_VS_000", "X_DMLINK_AE_000", "X_DMLINK_CM_000", "X_VSAE_000"}
+
+
+def test_each_table_is_scanned_twice(spark, tmp_path):
+    t = study_of(spark, tmp_path, 60)
+    findings = sl.validate_study(**t)  # the first scan has made the profile by now
+    plan = findings._jdf.queryExecution().executedPlan().toString()
+    for name in t:
+        assert plan.count(f"{tmp_path}/{name}]") == 1
+
+
+@pytest.mark.parametrize("mode", ["first", ""])
+def test_unknown_duplicate_mode(spark, tmp_path, mode):
+    with pytest.raises(ValueError, match="mode"):
+        sl.validate_study(**study_of(spark, tmp_path, 5), duplicates=mode)

@@ -9,10 +9,10 @@ another text, is removed. Strings are judged on the input.
 2. The surroundings of the other anchors (everything a repeat through them can cover) are dealt into shards
    by anchor hash. A shard builds a suffix array by Larsson-Sadakane refinement and the common
    prefixes of neighbours by Kasai's rule, both in numpy; neighbours that share ``length`` bytes are repeats.
-3. An anchor hash with too many places for one shard is dealt into several parts. Each part hands on every
-   distinct string once, with its least and greatest place; an aggregation, combined map-side, finds the
-   strings with two places or more. Only strings that a part has once carry their place and are joined with
-   these, so a string takes at most one row a part however many texts hold it.
+3. An anchor hash with too many places for one shard is dealt into several parts. Each part hands on its distinct
+   strings as sorted arrays of hashes, cut into ranges, with the places of those that it has once. Where the arrays
+   of all parts for one range meet, binary search in their merged order tells which of these another part has too.
+   A part is one row a range, whatever it holds, and a string is in it once however many texts hold it.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a text that
 occurs twice or more, repeated rows among them, goes completely if it has ``length`` bytes; an empty table
@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import total_bytes
 from ..operators.materialize import materialize
-from .textbytes import as_bytes, mix, prefix_hash, slices, span_hash
+from .textbytes import as_bytes, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 64
 SHARD_BYTES = 1 << 18  # text in a shard, about
+RANGE_STRINGS = 1_000_000  # strings of all parts of an anchor that meet in one task, about
 CHAIN = 128  # places that Kasai's rule walks in a row
 BROADCAST_BYTES = 32 << 20
 
@@ -213,7 +214,7 @@ def _merge(starts: np.ndarray, ends: np.ndarray, groups: np.ndarray) -> tuple[np
 
 
 def _search_shard(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Repeated intervals within one shard; for a part of a split anchor, also its distinct strings."""
+    """Repeated intervals within one shard; for a part of a split anchor, also its distinct strings, by range."""
     texts, of = np.unique(np.stack([rows["k1"], rows["k2"]], axis=1), axis=0, return_inverse=True)
     of = of.ravel()
     pieces = [np.frombuffer(s, np.uint8) for s in rows["segment"]]
@@ -239,33 +240,68 @@ def _search_shard(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     if len(hit):
         s, e, g = _merge(places, places + length, owner[which])
         out.append(pd.DataFrame({"k1": texts[g, 0], "k2": texts[g, 1], "start": s, "end": e}))
-    if bool(rows["split"].iloc[0]):
+    ranges = int(rows["ranges"].iloc[0])
+    if ranges:  # a part of a split anchor
         at = np.flatnonzero(valid)
         value = span_hash(prefix_hash(data), at, at + length)
-        which = np.searchsorted(base, at, "right") - 1
-        k1, k2 = texts[owner[which]].T.astype(np.int64)
-        start = starts[which] + at - base[which]
-        place = mix(mix(mix(k1.view(np.uint64)) + k2.view(np.uint64)) + start.astype(np.uint64)).view(np.int64)
-        order = np.lexsort((place, value))
-        value, place = value[order].view(np.int64), place[order]
+        order = np.argsort(value, kind="stable")
+        value, at = value[order], at[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else order
-        last = np.append(first[1:], len(value))[: len(first)] - 1
-        one = order[first]
-        many = pd.DataFrame({"k1": k1[one], "k2": k2[one], "start": start[one]}).astype("Int64")
-        many[first != last] = pd.NA  # found here, so its places stay here
-        own = rows[["h", "shard"]].iloc[0]
-        out.append(many.assign(h=own["h"], shard=own["shard"], v=value[first], low=place[first], high=place[last]))
-    columns = ["k1", "k2", "start", "end", "h", "shard", "v", "low", "high"]
-    found = pd.concat([frame.astype({"k1": "Int64", "k2": "Int64", "start": "Int64"}) for frame in out]) if out else pd.DataFrame()
-    return found.reindex(columns=columns).astype({c: "Int64" for c in columns if c != "shard"} | {"shard": "object"})
-
-
-def _merge_part(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Intervals of the places of one part."""
-    texts, of = np.unique(np.stack([rows["k1"], rows["k2"]], axis=1), axis=0, return_inverse=True)
-    start = rows["start"].to_numpy(np.int64)
-    s, e, g = _merge(start, start + length, of.ravel())
-    return pd.DataFrame({"k1": texts[g, 0], "k2": texts[g, 1], "start": s, "end": e})
+        alone = np.diff(np.append(first, len(value))) == 1
+        value, at = value[first], at[first]
+        which = np.searchsorted(base, at, "right") - 1
+        # Strings found twice here are known already: others need to see them, but not their places.
+        start = np.where(alone, starts[which] + at - base[which], -1)
+        out += _ranges_of(value, start, texts, owner[which], ranges, int(rows["h"].iloc[0]))
+    columns = ["k1", "k2", "start", "end", "h", "range", "strings", "places", "texts"]
+    kinds = {c: "Int64" for c in columns[:6]} | {c: "object" for c in columns[6:]}
+    # Cast one by one: a column that is missing somewhere would pass through floating point.
+    whole = [frame.astype({c: kinds[c] for c in frame}).reindex(columns=columns).astype(kinds) for frame in out]
+    return pd.concat(whole, ignore_index=True) if whole else pd.DataFrame(columns=columns).astype(kinds)
+
+
+def _ranges_of(value: np.ndarray, start: np.ndarray, texts: np.ndarray, owner: np.ndarray, ranges: int, h: int) -> list[pd.DataFrame]:
+    """A row for each range of sorted values: values, (start, text) of each (start -1: none), and the texts."""
+    ranked = (value >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    edges = [*np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])).tolist(), len(value)] if len(value) else [0]
+    rows = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        used, text = np.unique(owner[a:b], return_inverse=True)
+        places = np.stack([start[a:b], text.ravel()], axis=1).astype(np.int64)
+        rows.append((h, int(ranked[a]), value[a:b].tobytes(), places.tobytes(), texts[used].astype(np.int64).tobytes()))
+    return [pd.DataFrame(rows, columns=["h", "range", "strings", "places", "texts"])] if rows else []
+
+
+def _merge_range(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Intervals of strings that a part has once and another part has at another place, over one range of an anchor's strings."""
+    values, place, text, keys = [], [], [], []
+    for strings, places, texts in zip(rows["strings"], rows["places"], rows["texts"], strict=True):
+        own = np.frombuffer(places, np.int64).reshape(-1, 2)
+        values.append(np.frombuffer(strings, np.uint64))
+        place.append(own[:, 0])
+        keys.append(np.frombuffer(texts, np.int64).reshape(-1, 2))
+        text.append(own[:, 1])
+    # Overlapping surroundings bring one place into two parts, so places are told apart by text and start.
+    known = np.unique(np.concatenate(keys), axis=0, return_inverse=True)[1].ravel()
+    first = np.cumsum([0, *map(len, keys)])
+    whole = known[np.concatenate([f + t for f, t in zip(first, text, strict=False)])]
+    value, start = np.concatenate(values), np.concatenate(place)
+    order = np.lexsort((start, whole, value))
+    ranked = value[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    moved = (start[order][1:] != start[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    twice = start[order] < 0  # a part has it at several places
+    twice[1:] |= moved & ~new[1:]
+    heads = np.flatnonzero(new)
+    repeated = np.logical_or.reduceat(twice, heads)
+    merged = ranked[heads]
+    out = []
+    for number, own in enumerate(values):
+        hit = np.flatnonzero(repeated[np.searchsorted(merged, own)] & (place[number] >= 0))
+        if len(hit):
+            s, e, g = _merge(place[number][hit], place[number][hit] + length, text[number][hit])
+            out.append(pd.DataFrame({"k1": keys[number][g, 0], "k2": keys[number][g, 1], "start": s, "end": e}))
+    return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("k1", "k2", "start", "end")})
 
 
 def repeats(table: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +340,9 @@ def repeats(table: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     shards = max(1, -(-total // most))
     part = F.pmod(F.xxhash64("k1", "k2", "pos"), parts)
     shard = F.when(parts > 1, F.concat_ws("-", "h", part)).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("string"))
-    wanted = placed.select("doc", "k1", "k2", F.struct("pos", "h", (parts > 1).alias("split"), shard.alias("shard")).alias("p"))
+    strings = F.ceil(F.col("n") * (length - gram + 1) / F.lit(RANGE_STRINGS)).cast("int")
+    ranges = F.when(parts > 1, strings).otherwise(0).alias("ranges")
+    wanted = placed.select("doc", "k1", "k2", F.struct("pos", "h", ranges, shard.alias("shard")).alias("p"))
     wanted = wanted.groupBy("k1", "k2").agg(F.first("doc").alias("_doc"), F.collect_list("p").alias("p"))  # as many as the text has anchors
     wanted = materialize(wanted.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "_doc", "p"), "suffix-wanted")
     ids = wanted.select(F.col("_1").alias("_k1")).distinct()
@@ -330,21 +368,17 @@ def repeats(table: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
                     segment = pa.array([raw[i:j] for i, j in zip(a, b, strict=True)], pa.binary())
                     take = pa.array(doc[some])
                     arrays = [one.column("k1").take(take), one.column("k2").take(take), pa.array(begin[some]), segment]
-                    arrays += [pc.struct_field(flat, c).slice(at, len(a)) for c in ("h", "split", "shard")]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "start", "segment", "h", "split", "shard"])
+                    arrays += [pc.struct_field(flat, c).slice(at, len(a)) for c in ("h", "ranges", "shard")]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "start", "segment", "h", "ranges", "shard"])
 
     segments = matched.select("text", "k1", "k2", "p").mapInArrow(
-        cut, "k1 long, k2 long, start long, segment binary, h long, split boolean, shard string"
+        cut, "k1 long, k2 long, start long, segment binary, h long, ranges int, shard string"
     )
-    schema = "k1 long, k2 long, start long, end long, h long, shard string, v long, low long, high long"
+    schema = "k1 long, k2 long, start long, end long, h long, range long, strings binary, places binary, texts binary"
     searched = materialize(segments.groupBy("shard").applyInPandas(lambda g: _search_shard(g, length), schema), "suffix-found")
-    strings = searched.filter("v IS NOT NULL")
-    again = strings.groupBy("h", "v").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    again = again.select(F.col("h").alias("_h"), F.col("v").alias("_v"))  # one row a string
-    alone = strings.filter("k1 IS NOT NULL").join(again, (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v")))
-    alone = alone.select("shard", "k1", "k2", "start")  # at most the places of a part in a group
-    across = alone.groupBy("shard").applyInPandas(lambda g: _merge_part(g, length), "k1 long, k2 long, start long, end long")
-    intervals = searched.filter("v IS NULL").select("k1", "k2", "start", "end").unionByName(across)
+    split = searched.filter("range IS NOT NULL").select("h", "range", "strings", "places", "texts")
+    across = split.groupBy("h", "range").applyInPandas(lambda g: _merge_range(g, length), "k1 long, k2 long, start long, end long")
+    intervals = searched.filter("range IS NULL").select("k1", "k2", "start", "end").unionByName(across)
     # As many intervals as the text's anchors give.
     merged = intervals.groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return texts, merged

@@ -264,10 +264,26 @@ def test_split_anchors_send_a_string_once_a_part(spark, docs, monkeypatch):
     got = {r.doc_id: r for r in suffixes.spans(docs(list(enumerate(texts))), "doc_id", "text", 64, 16).collect()}
     gone = removed([t.encode() for t in texts], 64)
     assert [got[i].n_removed for i in range(len(texts))] == [int(g.sum()) for g in gone]
-    sent = written["suffix-found"].filter("v IS NOT NULL").toPandas()
-    assert sent["shard"].nunique() > 10 and not sent.duplicated(["shard", "v"]).any()
-    inside = sent["low"] < sent["high"]  # found repeated in the part: no place is sent
-    assert inside.any() and sent[inside]["k1"].isna().all() and sent[~inside]["k1"].notna().all()
+    # A part of a split anchor is a row or so, with every string once, and no place of those it has several times.
+    sent = written["suffix-found"].filter("range IS NOT NULL").toPandas()
+    strings = [np.frombuffer(x, np.uint64) for x in sent["strings"]]
+    places = [np.frombuffer(x, np.int64).reshape(-1, 2)[:, 0] for x in sent["places"]]
+    assert len(sent) > 10 and sum(map(len, strings)) > 20 * len(sent)
+    assert all((v[1:] > v[:-1]).all() and len(v) == len(p) for v, p in zip(strings, places, strict=True))
+    assert any((p < 0).any() for p in places) and any((p >= 0).any() for p in places)
+    # Rows out of the search are in proportion to the places looked at.
+    assert written["suffix-found"].count() <= 4 * written["suffix-shared"].count()
+
+
+@pytest.mark.parametrize("ranges", [1, 40])
+def test_ranges_of_strings(spark, docs, monkeypatch, ranges):
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1200)
+    monkeypatch.setattr(suffixes, "RANGE_STRINGS", 120 * 49 // ranges)
+    rng = random.Random(4)
+    passage = words(rng, 25)
+    texts = [f"{i} {words(rng, 5)} {passage[i % 7 :]} {words(rng, 5)}" for i in range(120)]
+    got = {r.doc_id: r.n_removed for r in suffixes.spans(docs(list(enumerate(texts))), "doc_id", "text", 64, 16).collect()}
+    assert [got[i] for i in range(120)] == [int(g.sum()) for g in removed([t.encode() for t in texts], 64)]
 
 
 def test_lines_of_every_length_equal_brute_force(spark, docs, monkeypatch):

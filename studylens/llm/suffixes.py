@@ -24,7 +24,7 @@ by 128-bit and 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -402,13 +402,18 @@ def _rows_with_spans(table: DataFrame, length: int, gram: int) -> DataFrame:
     return keyed.join(F.broadcast(known) if small else known, on, "left")
 
 
-def _kept(data: bytes, copies: int | None, starts: list | None, ends: list | None, length: int) -> tuple[bytes, int]:
-    """What is left of a text, and the number of runs removed."""
+def _kept(
+    data: bytes, copies: int | None, starts: list | None, ends: list | None, length: int, counts: Callable[[bytes], bool] | None = None
+) -> tuple[bytes, int]:
+    """What is left of a text, and the number of runs removed; with ``counts``, only runs that it holds for."""
     if (copies or 0) > 1 and len(data) >= length:
-        return b"", 1
+        return (data, 0) if counts and not counts(data) else (b"", 1)
     if not starts:
         return data, 0
     s, e = _united(starts, ends)
+    if counts:
+        wanted = [counts(data[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        s, e = s[wanted], e[wanted]
     edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(s)
 
@@ -434,8 +439,16 @@ def spans(table: DataFrame, key: str, text: str, length: int = LENGTH, gram: int
     )
 
 
-def clean(table: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The table with repeated strings taken out of the text; rows whose text goes completely are dropped."""
+def clean(
+    table: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM,
+    least_words: int = 0, sure_bytes: int = 0, least_left: int = 0,
+) -> DataFrame:
+    """The table with repeated strings taken out of the text; rows whose text goes completely are dropped.
+
+    With ``least_words``, a run of repeated bytes goes only if it holds so many words (between white space), or
+    ``sure_bytes`` bytes. A row that loses a run and keeps fewer than ``least_left`` words is dropped.
+    """
+    counts = (lambda run: len(run.split()) >= least_words or len(run) >= sure_bytes > 0) if least_words else None
     names = table.columns
     own = F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row")
     rows = _rows_with_spans(table.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"), own), length, gram)
@@ -445,8 +458,8 @@ def clean(table: DataFrame, key: str, text: str, length: int = LENGTH, gram: int
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 lists = zip(texts, *(part.column(c).to_pylist() for c in ("copies", "starts", "ends")), strict=True)
-                left = [t if t is None else _kept(t.encode(), *more, length)[0].decode("utf-8", "ignore") for t, *more in lists]
-                stay = pa.array([not t or bool(k) for t, k in zip(texts, left, strict=True)])
+                left = [t if t is None else _kept(t.encode(), *more, length, counts)[0].decode("utf-8", "ignore") for t, *more in lists]
+                stay = pa.array([not t or t == k or bool(k) and len(k.encode().split()) >= least_left for t, k in zip(texts, left, strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.string())], names=["row", "text"]).filter(stay)
 
     row = rows.schema["row"].dataType

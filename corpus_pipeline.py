@@ -33,9 +33,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs, "doc_id", "text", 5, 80)
 
 
+# A passage is a run of repeated bytes of more than 50 words, which have 252 bytes or more in the corpora at
+# hand; shorter strings are looked for, so that none is missed. Where there are no words, 400 bytes will do.
+PASSAGE_BYTES, PASSAGE_WORDS, SURE_BYTES = 200, 51, 400
+LEAST_WORDS = 50  # as in the quality rules
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without byte strings of 400 that occur twice."""
-    return _counted(suffixes.clean(docs, "doc_id", "text"))
+    """Without passages that occur twice; documents that lose one and keep fewer than 50 words go."""
+    found = suffixes.clean(
+        docs, "doc_id", "text", PASSAGE_BYTES, least_words=PASSAGE_WORDS, sure_bytes=SURE_BYTES, least_left=LEAST_WORDS
+    )
+    return _counted(found)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,6 +349,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "findings_csv_roundtrip": _findings_file,
         "file_row_index": _row_index,
         "djson_structure_findings": lambda spark, sf: sl.DatasetJson(_faulty_documents(spark, sf)).validate_top_level(),
+        "djson_own_finding_type": lambda spark, sf: sl.DatasetJson(_faulty_documents(spark, sf), "INTAKE").validate_top_level(),
         "djson_list_itemgroups": lambda spark, sf: sl.DatasetJson(_all_documents(spark, sf))
         .itemgroups()
         .selectExpr("doc_id", "array_join(oids, ';') AS oids"),
@@ -846,6 +847,7 @@ def oracle_sql() -> dict[str, str]:
         "findings_csv_roundtrip": _with(_STUDY_VIEWS, f"SELECT * REPLACE (CAST(row_index AS VARCHAR) AS row_index) FROM ({_study_sql()})"),
         "file_row_index": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey FROM orders",
         "djson_structure_findings": _structure_sql(),
+        "djson_own_finding_type": f"SELECT * REPLACE ('INTAKE' AS finding_type) FROM ({_structure_sql()})",
         "djson_list_itemgroups": _oids_sql(),
         "djson_group_findings": _group_findings_sql(strict=False),
         "djson_group_findings_strict": _group_findings_sql(strict=True),

@@ -55,19 +55,24 @@ def depth_limit(sample_rows: int) -> int:
     return math.ceil(math.log2(max(sample_rows, 2)))
 
 
+def part_of(digest: str, part: int) -> str:
+    """SQL for a number in 0 .. 2^52 - 1 from an MD5; parts 0 and 1 are independent."""
+    return f"CAST(conv(substring({digest}, {1 + 13 * part}, 13), 16, 10) AS BIGINT)"
+
+
 def drawn(text: str, part: int = 0) -> str:
-    """SQL for a number in 0 .. 2^52 - 1 from the MD5 of a text; parts 0 and 1 are independent."""
-    return f"CAST(conv(substring(md5({text}), {1 + 13 * part}, 13), 16, 10) AS BIGINT)"
+    """The same from the MD5 of a text."""
+    return part_of(f"md5({text})", part)
 
 
 def draw_samples(df: DataFrame, columns: Sequence[str], total: int, seed: int) -> DataFrame:
     """(tree, row_index, x: the values of ``columns``) of min(SAMPLE_ROWS, total) rows for each tree; written down."""
     wanted, ring = min(SAMPLE_ROWS, total), STEP * STARTS
     # Two groups share an MD5.
-    texts = [f"concat('{seed}:{g // 2}:', row_index)" for g in range(GROUPS)]
-    hashes = ", ".join(f"{drawn(t, g % 2)} % {ring}L" for g, t in enumerate(texts))
+    digests = [f"md5(concat('{seed}:{pair}:', row_index)) AS m{pair}" for pair in range(GROUPS // 2)]
+    hashes = ", ".join(f"{part_of(f'm{g // 2}', g % 2)} % {ring}L" for g in range(GROUPS))
     values = ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in columns)
-    hashed = df.selectExpr("row_index", f"array({values}) AS x", f"posexplode(array({hashes})) AS (g, h)")
+    hashed = df.selectExpr("row_index", f"array({values}) AS x", *digests).selectExpr("row_index", "x", f"posexplode(array({hashes})) AS (g, h)")
     arc = min(ring, -(-ring * ARC_ROWS // total))
     while True:
         # From starting points at or before the value, as far back as an arc reaches.
@@ -88,27 +93,26 @@ def grow_trees(samples: DataFrame, dimensions: int, depth: int, seed: int) -> Da
     Nodes are numbered as in a heap from 1. A value greater than ``at`` goes right, to 2 * node + 1.
     """
     tasks = min(TREES, samples.sparkSession.sparkContext.defaultParallelism)
-    rows = samples.repartition(tasks, "tree").withColumn("node", F.lit(1).cast("long"))
-    at_node = Window.partitionBy("tree", "node")
-    values = [F.get("x", F.lit(i)) for i in range(dimensions)]
-    seen = []
-    for level in range(depth + 1):
-        ranges = [F.struct(F.lit(i).alias("i"), F.min(v).over(at_node).alias("low"), F.max(v).over(at_node).alias("high")) for i, v in enumerate(values)]
-        rows = rows.withColumn("n", F.count(F.lit(1)).over(at_node)).withColumn("ranges", F.array(*ranges))
-        if level == depth:
-            split = F.lit(None).cast("struct<i: int, at: double>")
-        else:
-            text = f"concat('{seed}:', tree, ':', node)"
-            rows = rows.withColumn("usable", F.expr("filter(ranges, r -> r.high > r.low)"))
-            # Without a usable range there is none to pick.
-            rows = rows.withColumn("pick", F.expr(f"get(usable, CAST({drawn(text)} % greatest(size(usable), 1) AS INT))"))
-            split = F.expr(f"CASE WHEN pick IS NOT NULL THEN named_struct('i', pick.i, 'at', pick.low + {drawn(text, 1)} / {2**52}D * (pick.high - pick.low)) END")
+    rows = samples.repartition(tasks, "tree").selectExpr("tree", "x", "1L AS node")
+    over = "OVER (PARTITION BY tree, node)"
+    ranges = [f"{end}(x[{i}]) {over} AS {name}{i}" for i in range(dimensions) for end, name in (("min", "low"), ("max", "high"))]
+    usable = ", ".join(f"CASE WHEN high{i} > low{i} THEN named_struct('i', {i}, 'low', low{i}, 'high', high{i}) END" for i in range(dimensions))
+    text = f"concat('{seed}:', tree, ':', node)"
+    seen: list[str] = []
+    for level in range(depth):
+        ranged = rows.selectExpr("tree", "x", "node", *seen, f"count(1) {over} AS n", *ranges)
+        drawn_from = ranged.selectExpr("tree", "x", "node", *seen, "n", f"array_compact(array({usable})) AS usable")
+        # Without a usable range there is none to pick.
+        pick = f"get(usable, CAST({drawn(text)} % greatest(size(usable), 1) AS INT)) AS pick"
+        picked = drawn_from.selectExpr("tree", "x", "node", *seen, "n", pick, f"{drawn(text, 1)} / {2**52}D AS share")
+        at = picked.selectExpr("tree", "x", "node", *seen, "n", "pick.i AS feature", "pick.low + share * (pick.high - pick.low) AS at")
         name = f"level{level}"
-        rows = rows.withColumn("split", split).withColumn(name, F.expr("named_struct('node', node, 'n', n, 'feature', split.i, 'at', split.at)"))
-        seen.append(name)
         # A leaf's rows stay where they are, and find the same again on the next level.
-        rows = rows.withColumn("node", F.expr("CASE WHEN split IS NULL THEN node ELSE 2 * node + CASE WHEN x[split.i] > split.at THEN 1 ELSE 0 END END"))
-    found = rows.selectExpr("tree", f"inline(array({', '.join(seen)}))")
+        moved = "CASE WHEN feature IS NULL THEN node ELSE 2 * node + CASE WHEN x[feature] > at THEN 1 ELSE 0 END END AS node"
+        rows = at.selectExpr("tree", "x", moved, *seen, f"named_struct('node', node, 'n', n, 'feature', feature, 'at', at) AS {name}")
+        seen.append(name)
+    last = f"named_struct('node', node, 'n', count(1) {over}, 'feature', CAST(NULL AS INT), 'at', CAST(NULL AS DOUBLE)) AS level{depth}"
+    found = rows.selectExpr("tree", *seen, last).selectExpr("tree", f"inline(array({', '.join([*seen, f'level{depth}'])}))")
     return found.groupBy("tree", "node").agg(F.max("n").alias("n"), F.max("feature").alias("feature"), F.max("at").alias("at"))
 
 

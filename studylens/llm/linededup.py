@@ -4,8 +4,9 @@
    edits share a segment, at nearly the same place. Every line names its own segments (its index entries,
    by length and segment number) and probes those that shorter lines of each possible length could have,
    at the few starts that are possible. Spark sorts these keys; lines that meet name a lead (``leads``).
-2. Under a lead, lines are compared by banded bit-parallel edit distance, many pairs at a time in numpy,
-   until it is known which are connected. Lines already connected are not compared again.
+2. Under a lead, lines whose numbers of bytes of each kind rule out a link are put into different clusters. Within
+   a cluster they are compared by banded bit-parallel edit distance, many pairs at a time in numpy, until it
+   is known which are connected; where pairs are many, lines already connected are not compared again.
 3. Links give components of lines. The first occurrence of a component (smallest document, then line) stays,
    every later one goes. Only blank lines and lines shorter than ``least`` are never removed. With ``least=1``,
    as the registered query and the pipeline have it, every line that is not blank takes part; its segments are
@@ -37,6 +38,8 @@ from .textbytes import CHUNK_BYTES, SPACE, as_bytes, lines, mix, prefix_hash, sl
 EDITS = 2
 LEAST = 32  # bytes; 1 for all lines
 GROUP_LINES = 2_000
+SPARSE = 16  # pairs a line, up to which all of a cluster are compared at once
+KINDS = 32  # bytes alike in their low bits are counted together
 LONG = 256  # bytes from which common beginnings and ends of two lines are taken off first
 BROADCAST_BYTES = 32 << 20
 
@@ -147,18 +150,90 @@ def within(patterns: list[bytes], texts: list[bytes], edits: int) -> np.ndarray:
     return _distances(Packed(middles, edits), at, at + 1, edits)
 
 
+def kinds_of(texts: list[bytes]) -> np.ndarray:
+    """How many bytes of each kind every line has."""
+    out = np.zeros((len(texts), KINDS), np.int32)
+    short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+    size = np.array([len(texts[i]) for i in short], np.int64)
+    data = np.frombuffer(b"".join(texts[i] for i in short), np.uint8) % KINDS
+    out[short] = np.bincount(np.repeat(np.arange(len(short)) * KINDS, size) + data, minlength=len(short) * KINDS).reshape(-1, KINDS)
+    for i, t in enumerate(texts):
+        if len(t) > LONG:
+            out[i] = np.bincount(np.frombuffer(t, np.uint8) % KINDS, minlength=KINDS)
+    return out
+
+
+def clusters(lines_: np.ndarray, size: np.ndarray, kinds: np.ndarray, edits: int) -> Iterator[np.ndarray]:
+    """The lines in sets of two or more, shortest first, of which no two within ``edits`` are in different sets.
+
+    A replaced byte is one more of a kind and one less of another, an inserted one is one more, so lines
+    whose numbers of bytes by kind differ by more than that allows are no neighbours."""
+    rest = lines_[np.argsort(size[lines_], kind="stable")]
+    while len(rest) > 1:
+        queue, own, rest = [int(rest[0])], [], rest[1:]
+        while queue:
+            line = queue.pop()
+            own.append(line)
+            first, last = np.searchsorted(size[rest], [size[line] - edits, size[line] + edits + 1]).tolist()
+            if first == last:
+                continue
+            some = rest[first:last]
+            near = np.abs(kinds[some] - kinds[line]).sum(axis=1) + np.abs(size[some] - size[line]) <= 2 * edits
+            if near.any():
+                queue += some[near].tolist()
+                rest = np.delete(rest, first + np.flatnonzero(near))
+        if len(own) > 1:
+            own = np.array(own)
+            yield own[np.argsort(size[own], kind="stable")]
+
+
+def sparse_pairs(own: np.ndarray, size: np.ndarray, kinds: np.ndarray, edits: int) -> np.ndarray | None:
+    """All pairs of a cluster that need a distance, the shorter line first, unless they are many."""
+    pairs, n = [], 0
+    last = np.searchsorted(size[own], size[own] + edits, "right").tolist()
+    for i, line in enumerate(own.tolist()):
+        some = own[i + 1 : last[i]]
+        if not len(some):
+            continue
+        some = some[np.abs(kinds[some] - kinds[line]).sum(axis=1) + size[some] - size[line] <= 2 * edits]
+        pairs.append(np.stack([np.full(len(some), line), some]))
+        n += len(some)
+        if n > SPARSE * len(own):
+            return None
+    return np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+
+
 def connected(groups: list[list[bytes]], edits: int) -> list[tuple[int, int]]:
-    """Links that connect all lines of a group within ``edits`` of each other: a spanning forest.
+    """Links that connect all lines of a group within ``edits`` of each other.
 
-    Lines are numbered through all groups. Each round takes a line of every group and compares it with
-    those of its group that nothing is linked to yet."""
+    Lines are numbered through all groups. A cluster of few pairs has all of them compared at once. Of
+    others, each round takes a line of every cluster and compares it with those that nothing is linked to yet."""
     texts = [t for group in groups for t in group]
     packed, links, ends = Packed(texts, edits), [], np.cumsum([len(g) for g in groups])
+    kinds = kinds_of(texts)
     size = packed.sizes
-    states = []  # lines to compare with the rest, and the rest, shortest first
+
+    def near(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(pattern), bool)
+        alike = np.abs(kinds[pattern] - kinds[text]).sum(axis=1) + size[text] - size[pattern] <= 2 * edits
+        long = size[text] > LONG
+        at = np.flatnonzero(alike & ~long)
+        hit[at] = _distances(packed, pattern[at], text[at], edits)
+        at = np.flatnonzero(alike & long)
+        for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[text[at]]) // CHUNK_BYTES)) + 1):
+            hit[part] = within([texts[i] for i in pattern[part]], [texts[i] for i in text[part]], edits)
+        return hit
+
+    states, few = [], []  # lines to compare with the rest, and the rest, shortest first; pairs of sparse clusters
     for group, end in zip(groups, ends.tolist(), strict=True):
-        rest = np.arange(end - len(group), end)
-        states.append(([], rest[np.argsort(size[rest], kind="stable")]))
+        for own in clusters(np.arange(end - len(group), end), size, kinds, edits):
+            pairs = sparse_pairs(own, size, kinds, edits)
+            states += [([], own)] if pairs is None else []
+            few += [] if pairs is None else [pairs]
+    if few:
+        mine, theirs = np.concatenate(few, axis=1)
+        hit = near(mine, theirs)
+        links += zip(mine[hit].tolist(), theirs[hit].tolist(), strict=True)
     while states:
         asked, own, other = [], [], []
         for queue, rest in states:
@@ -176,13 +251,7 @@ def connected(groups: list[list[bytes]], edits: int) -> list[tuple[int, int]]:
             break
         mine, theirs = np.concatenate(own), np.concatenate(other)
         swap = size[mine] > size[theirs]
-        pattern, text = np.where(swap, theirs, mine), np.where(swap, mine, theirs)
-        long = size[text] > LONG
-        hit = np.zeros(len(mine), bool)
-        hit[~long] = _distances(packed, pattern[~long], text[~long], edits)
-        at = np.flatnonzero(long)
-        for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[text[at]]) // CHUNK_BYTES)) + 1):
-            hit[part] = within([texts[i] for i in pattern[part]], [texts[i] for i in text[part]], edits)
+        hit = near(np.where(swap, theirs, mine), np.where(swap, mine, theirs))
         links += zip(mine[hit].tolist(), theirs[hit].tolist(), strict=True)
         states, at = [], 0
         for queue, rest, first, last in asked:

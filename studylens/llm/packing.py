@@ -21,6 +21,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
-from .merges import PairTable, merge_strings
-from .textbytes import slices
+from .merges import SHORT, PairTable, merge_strings
+from .textbytes import release, slices
 
 CAPACITY = 2048
 GROUP_ITEMS = 50_000
@@ -60,11 +61,9 @@ class WordCodec:
     """Ids of texts under one ``tokenizers`` file with lower-cased, end-marked words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.library = Tokenizer.from_file(path)
         model, end = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         split = json.dumps(spec["pre_tokenizer"])
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -85,16 +84,27 @@ class WordCodec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         rows = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         rank = np.arange(len(rows))
-        self.pairs = {(a, b): (i, c) for i, (a, b, c) in enumerate(rows.tolist())}
+        self.rows = rows
         self.table = PairTable(rows[:, 0], rows[:, 1], rank, rows[:, 2])
 
+    # Both take memory of every worker, and few texts need them: odd ones, and those with very long words.
+    @cached_property
+    def library(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        return {(a, b): (i, c) for i, (a, b, c) in enumerate(self.rows.tolist())}
+
     def _learn(self, words: list[str]) -> None:
         spelled = [w.encode() for w in words]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
         data = np.frombuffer(b"".join(spelled), np.uint8)
         symbols = self.inner[data]
         symbols[offsets[1:] - 1] = self.last[data[offsets[1:] - 1]]
-        ids, at = merge_strings(symbols, offsets, self.table, self.pairs)
+        ids, at = merge_strings(symbols, offsets, self.table, self.pairs if int(np.diff(offsets).max()) > SHORT else {})
         raw, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
         self.cache.update((w, raw[at[i] : at[i + 1]]) for i, w in enumerate(words))
 
@@ -116,16 +126,6 @@ class WordCodec:
         ]
 
 
-_codecs: dict[str, WordCodec] = {}
-
-
-def codec(path: str) -> WordCodec:
-    """One codec per file and worker."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
-
-
 def token_pieces(
     table: DataFrame, key: str, text: str, path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False
 ) -> DataFrame:
@@ -135,7 +135,9 @@ def token_pieces(
     mark = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        # Made anew for every task: kept, its words and tables took 100 MB of each worker through all later stages.
+        own = WordCodec(path)
+        release()
         for batch in batches:
             for part in slices(batch, text):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -156,6 +158,8 @@ def token_pieces(
                 if with_ids:
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        del own
+        release()
 
     return table.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 

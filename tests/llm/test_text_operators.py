@@ -251,6 +251,22 @@ def test_suffixes_equal_brute_force(spark, docs, monkeypatch, shard):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_query_removes_strings_of_400_bytes(spark, docs, tmp_path):
+    rng = random.Random(21)
+    short, long = words(rng, 60), words(rng, 120)  # both of more than 50 words
+    assert len(short) < 400 < len(long)
+    texts = [f"{words(rng, 40)} {p} {words(rng, 40)}" for p in (short, short, long, long)]
+    texts += [f"{long} {words(rng, 20)} {long}", words(rng, 150), "é" * 300, None]
+    docs(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_suffixes(spark, str(tmp_path)).collect()}
+    raw = [(t or "").encode() for t in texts]
+    for i, (b, gone) in enumerate(zip(raw, removed(raw, 400), strict=True)):
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    # n_bytes is the input's length, whether a passage goes (400 bytes) or stays (fewer).
+    assert [got[i].n_removed > 0 for i in range(len(texts))] == [False, False, True, True, True, False, True, False]
+
+
 def test_split_anchors_send_a_string_once_a_part(spark, docs, monkeypatch):
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 1200)  # 10 places a part
     written = {}

@@ -6,7 +6,8 @@
 2. N-grams of ``LONGEST`` characters are counted per language by Spark. Every letter of every script stays itself (lower
    case); digits, blanks, punctuation and other signs are one symbol each. The modified Kneser-Ney model (interpolated, discounts from
    the counts of counts) comes from aggregations and joins over all orders; its size follows the corpus.
-3. The model is kept as arrays of 64-bit hashes in order, with a log-probability each, and searched by bisection. Up to
+3. The model is kept as arrays of 64-bit hashes in order, with a log-probability each, and searched from where the leading bits
+   of a hash begin. A counting task holds its n-grams likewise, so only those that it meets for the first time are sorted. Up to
    ``MODEL_BYTES`` it is broadcast. A larger one stays on the cluster: texts are dealt into groups of bounded size, each
    group's distinct n-grams fetch their probabilities by a join, and the group's own arrays are searched.
 
@@ -42,6 +43,7 @@ TABLE_LANGUAGES = 1 << 13  # languages whose tables (8 KB each) are broadcast at
 LETTERS = 1 << 10  # classes of letters without a folded symbol
 LONGEST = 5  # characters of the n-grams that are scored
 HELD = 1 << 19  # distinct n-grams that a counting task holds
+SLICE_BYTES = 1 << 19  # text that is looked at in one go, so that arrays over its characters stay in the cache
 MODEL_BYTES = 32 << 20  # largest model that is broadcast, 12 bytes an n-gram
 GROUP_BYTES = 16 << 20  # text of a group that searches its own part of a larger model
 STRETCH = 64  # characters that are taken to be of one language
@@ -86,19 +88,25 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np
     symbols = _FIRST[data]
     accent = np.flatnonzero(data[:-1] == 0xC3)
     symbols[accent] = _ACCENTED[data[accent + 1]]
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[lead]
-    symbols = symbols[lead]
-    at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))])
-    key = symbols.astype(np.uint32)
-    place = np.arange(len(symbols)) - at[doc]
+    chars = count_in(lead, offsets)
+    doc = np.repeat(np.arange(len(chars)), chars)
+    symbols = symbols[lead].astype(np.uint32)
+    early, place = _early(chars, order - 1)
+    key, first = symbols.copy(), symbols[early]
     for back in range(1, order):
-        before = np.full(len(symbols), _START, np.uint32)
-        before[back:] = symbols[:-back] if back < len(symbols) else symbols[:0]
-        before[place < back] = _START
-        key |= before << np.uint32(BITS * back)
+        key[back:] |= symbols[: max(len(symbols) - back, 0)] << np.uint32(BITS * back)
+        first |= np.where(place < back, np.uint32(_START), symbols[np.maximum(early - back, 0)]) << np.uint32(BITS * back)
+    key[early] = first
     return key, doc
 
 
+def _early(chars: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first ``n`` characters of texts of so many characters are, and their places in the text."""
+    some = np.minimum(chars, n)
+    place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+    return np.repeat(np.cumsum(chars) - chars, some) + place, place
+
+
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """Discount of a count of 0, 1, 2 and 3 or more."""
     n1, n2, n3, n4 = (int((counts == i).sum()) for i in range(1, 5))
@@ -191,6 +199,7 @@ def _symbol_table() -> np.ndarray:
 
 
 _table = np.zeros(0, np.uint32)
+_mixed = np.zeros(0, np.uint64)  # hashes of the symbols of _table
 _BEFORE = ord("\n")  # stands before a text; blanks are " "
 _FACTORS = mix(np.arange(1, LONGEST + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -210,16 +219,21 @@ def _hashed(spelled: np.ndarray, language: np.ndarray) -> np.ndarray:
     return mix(key + (language.astype(np.uint64) + np.uint64(1)) * _FACTORS[LONGEST])
 
 
-def _keys(own: np.ndarray, place: np.ndarray, language: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The hash of the n-gram that ends at each character; ``place`` is that in the text, ``language`` a place in ``known``."""
+def _keys(own: np.ndarray, chars: np.ndarray, language: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The hash of the n-gram that ends at each character of texts of ``chars`` characters; ``language`` is a place in ``known``."""
+    global _mixed
+    if not len(_mixed):
+        _mixed = mix(np.arange(1, len(_table) + 1, dtype=np.uint64))
     before = mix(np.array([_BEFORE + 1], np.uint64))
-    mixed = np.concatenate([np.repeat(before, LONGEST - 1), mix(own.astype(np.uint64) + np.uint64(1))])
-    early = np.flatnonzero(place < LONGEST - 1)
+    mixed = np.concatenate([np.repeat(before, LONGEST - 1), _mixed[np.minimum(own, len(_mixed) - 1)]])
+    rare = np.flatnonzero(own >= len(_mixed))
+    mixed[rare + LONGEST - 1] = mix(own[rare].astype(np.uint64) + np.uint64(1))
+    early, place = _early(chars, LONGEST - 1)
     key = ((known.astype(np.uint64) + np.uint64(1)) * _FACTORS[LONGEST])[language]
     for back in range(LONGEST):
         factor = _FACTORS[LONGEST - 1 - back]
         shifted = mixed[LONGEST - 1 - back :][: len(own)] * factor
-        shifted[early[place[early] < back]] = before[0] * factor
+        shifted[early[place < back]] = before * factor
         key += shifted
     return mix(key)
 
@@ -231,10 +245,41 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
 
 
-def _spelled(own: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _spelled(own: np.ndarray, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The symbols of the n-grams that end at some characters, a row each."""
     back = np.arange(LONGEST - 1, -1, -1)
-    return np.where(place[at][:, None] >= back, own[np.maximum(at[:, None] - back, 0)], np.uint32(_BEFORE))
+    first = np.cumsum(chars) - chars
+    place = at - first[np.searchsorted(first, at, "right") - 1]
+    return np.where(place[:, None] >= back, own[np.maximum(at[:, None] - back, 0)], np.uint32(_BEFORE))
+
+
+class Sorted:
+    """Distinct hashes in order; they are spread evenly, so where those with the same leading bits begin is where each is."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = len(keys).bit_length() + 1
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.heads = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).view(np.int64), minlength=1 << bits), out=self.heads[1:])
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each wanted hash (any, if it is not there), and which are not there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int32), np.arange(len(wanted))
+        last = np.int32(len(self.keys) - 1)
+        at = np.minimum(self.heads[(wanted >> self.shift).view(np.int64)], last)
+        open_ = np.flatnonzero(self.keys[at] != wanted)
+        sought, here, gone = wanted[open_], at[open_], []
+        while len(open_):
+            here = here + np.int32(1)
+            met = self.keys[np.minimum(here, last)]
+            beyond = (here > last) | (met > sought)
+            gone.append(open_[beyond])
+            hit = (met == sought) & ~beyond
+            at[open_[hit]] = here[hit]
+            on = ~(beyond | hit)
+            open_, sought, here = open_[on], sought[on], here[on]
+        return at, np.concatenate(gone) if gone else open_
 
 
 def _letters(own: np.ndarray, folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,17 +341,18 @@ class Guess:
         self.letters = {k: np.frombuffer(v, np.float32).astype(float) for k, v in letters.items()}
 
     def languages(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(symbol, place in the text, document, language as a place in the last array) of every character, and languages."""
+        """Symbol, document and language (a place in the last array) of every character; characters of each text; languages."""
         key, doc = grams(data, offsets, 2)
         own = symbols(data)
         at, letter = _letters(own, key)
         chars = np.bincount(doc, minlength=len(offsets) - 1)
-        place = np.arange(len(key)) - (np.cumsum(chars) - chars)[doc]
-        starts = np.flatnonzero(place % STRETCH == 0)  # of stretches
+        stretches = -(-chars // STRETCH)
+        number = np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        starts = np.repeat(np.cumsum(chars) - chars, stretches) + number * STRETCH
         if not len(starts):
-            return own, place, doc, np.zeros(0, np.int64), np.zeros(0, np.int32)
-        part = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-        part_doc, part_at = doc[starts], part[at]
+            return own, doc, np.zeros(0, np.int64), chars, np.zeros(0, np.int32)
+        lengths = np.diff(np.append(starts, len(key)))
+        part_doc, part_at = doc[starts], np.searchsorted(starts, at, "right") - 1
 
         def fit(language: int) -> np.ndarray:
             found = np.add.reduceat(self.pairs[language][key], starts)
@@ -318,7 +364,7 @@ class Guess:
             if other in self.pairs:  # a label without any characters has no table, and no stretch
                 fits.append(np.where(labels[part_doc] == other, fit(other), -np.inf))
                 known.append(other)
-        return own, place, doc, np.argmax(fits, axis=0)[part], np.array(known, np.int32)
+        return own, doc, np.repeat(np.argmax(fits, axis=0), lengths), chars, np.array(known, np.int32)
 
 
 def _spread(texts: DataFrame, tables: DataFrame) -> list[tuple[DataFrame, object]]:
@@ -342,33 +388,44 @@ def _spread(texts: DataFrame, tables: DataFrame) -> list[tuple[DataFrame, object
 def ngrams(texts: DataFrame, shared: object) -> DataFrame:
     """(language, gram, n): n-grams of texts(language, text), several rows each."""
 
+    # Keys in order, symbols, languages, counts.
+    nothing = (np.zeros(0, np.uint64), np.zeros((0, LONGEST), np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guess = Guess(*shared.value)
-        held: list[tuple[np.ndarray, ...]] = []  # (keys, symbols, languages, counts) of slices, or of several merged
+        held, held_keys, new = nothing, Sorted(nothing[0]), []  # new: of slices, those that are not held yet
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 data, offsets = as_bytes(part.column("text"))
-                own, place, _, language, known = guess.languages(data, offsets, part.column("language").to_numpy(zero_copy_only=False))
-                if not len(own):
-                    continue
-                key = _keys(own, place, language, known)
-                order, heads = _distinct(key)
-                at = order[heads]
-                held.append((key[at], _spelled(own, place, at), known[language[at]], np.diff(np.append(heads, len(key)))))
-                if sum(len(h[0]) for h in held) > 2 * HELD:
-                    held = [merged(held)]
-                    if len(held[0][0]) > HELD:
-                        yield rows(*held.pop())
-        if held:
-            yield rows(*merged(held))
-        held.clear()
+                own, _, language, chars, known = guess.languages(data, offsets, part.column("language").to_numpy(zero_copy_only=False))
+                key = _keys(own, chars, language, known)
+                at, other = held_keys.find(key)
+                held[3][:] += np.bincount(np.delete(at, other), minlength=len(held[3]))
+                order, heads = _distinct(key[other])
+                at = other[order[heads]]
+                new.append((key[at], _spelled(own, chars, at), known[language[at]], np.diff(np.append(heads, len(other)))))
+                if sum(len(c[0]) for c in new) > len(held[0]) // 4:
+                    held = merged(held, new)
+                    if len(held[0]) > HELD:
+                        yield rows(*held)
+                        held = nothing
+                    held_keys, new = Sorted(held[0]), []
+        if new:
+            held = merged(held, new)
+        if len(held[0]):
+            yield rows(*held)
         release()
 
-    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        key, spelled, language, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    def merged(held: tuple[np.ndarray, ...], new: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        # A key of new may be in several slices, but not among those held.
+        key, spelled, language, n = (np.concatenate(c) for c in zip(*new, strict=True))
         order, heads = _distinct(key)
+        if not len(heads):
+            return held
         at = order[heads]
-        return key[at], spelled[at], language[at], np.add.reduceat(n[order], heads)
+        between = np.searchsorted(held[0], key[at])
+        more = (key[at], spelled[at], language[at], np.add.reduceat(n[order], heads))
+        return tuple(np.insert(a, between, b, axis=0) for a, b in zip(held, more, strict=True))
 
     def rows(_: np.ndarray, spelled: np.ndarray, language: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         # Rows of UTF-32 in a row are strings of LONGEST characters each.
@@ -466,23 +523,17 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _perplexities(
-    data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, guess: Guess, keys: np.ndarray, logs: np.ndarray
+    data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, guess: Guess, keys: Sorted, logs: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean negative log-probability a character (NaN without any), rounded; characters; language."""
     n = len(offsets) - 1
     if not len(data):
         return np.full(n, np.nan), np.zeros(n, np.int64), labels.astype(np.int32)
-    own, place, doc, language, known = guess.languages(data, offsets, labels)
-    chars = np.bincount(doc, minlength=n)
-    wanted = _keys(own, place, language, known)
-    order = np.argsort(wanted)
-    wanted = wanted[order]
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    if (keys[at] != wanted).any():
+    own, doc, language, chars, known = guess.languages(data, offsets, labels)
+    at, missing = keys.find(_keys(own, chars, language, known))
+    if len(missing):
         raise RuntimeError("an n-gram of the text is not in the model")
-    found = np.empty(len(order), logs.dtype)
-    found[order] = logs[at]
-    total = np.bincount(doc, weights=found, minlength=n)
+    total = np.bincount(doc, weights=logs[at], minlength=n)
     main = np.bincount(doc * len(known) + language, minlength=n * len(known)).reshape(n, len(known))
     language = np.where(chars > 0, known[np.argmax(main, axis=1)], labels)
     with np.errstate(invalid="ignore"):
@@ -493,9 +544,9 @@ def _perplexities(
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, chars long"
 
 
-def _figures(whole: pa.RecordBatch, guess: Guess, keys: np.ndarray, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _figures(whole: pa.RecordBatch, guess: Guess, keys: Sorted, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows without their text and label, but with statistics and perplexity."""
-    for part in slices(whole, "text"):
+    for part in slices(whole, "text", SLICE_BYTES):
         data, offsets = as_bytes(part.column("text"))
         language = part.column("language").to_numpy(zero_copy_only=False)
         mean, chars, language = _perplexities(data, offsets, language, guess, keys, logs)
@@ -529,7 +580,7 @@ def _scored(texts: DataFrame, columns: str, tables: DataFrame) -> list[DataFrame
 
     def scoring(shared: object) -> object:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            guess, keys, logs = Guess(*shared.value), np.frombuffer(both.value[0], np.uint64), np.frombuffer(both.value[1], np.float32)
+            guess, keys, logs = Guess(*shared.value), Sorted(np.frombuffer(both.value[0], np.uint64)), np.frombuffer(both.value[1], np.float32)
             for batch in batches:
                 yield from _figures(batch, guess, keys, logs)
             release()
@@ -549,15 +600,16 @@ def _scored_in_groups(texts: DataFrame, columns: str, shared: object, probabilit
         guess, found = Guess(*shared.value), np.zeros(0, np.uint64)
         for batch in table.combine_chunks().to_batches():
             for part in slices(batch, "text"):
-                own, place, _, language, known = guess.languages(*as_bytes(part.column("text")), part.column("language").to_numpy(zero_copy_only=False))
-                found = np.union1d(found, _keys(own, place, language, known))
+                own, _, language, chars, known = guess.languages(*as_bytes(part.column("text")), part.column("language").to_numpy(zero_copy_only=False))
+                found = np.union1d(found, _keys(own, chars, language, known))
         number = np.full(len(found), table.column("group")[0].as_py(), np.int64)
         return pa.table({"group": number, "key": found.view(np.int64)})
 
     def score(table: pa.Table, model: pa.Table) -> pa.Table:
         guess = Guess(*shared.value)
         keys, logs = _sorted(model.column("key").to_numpy(), model.column("log").to_numpy())
-        out = [r for batch in table.combine_chunks().to_batches() for r in _figures(batch, guess, keys, logs)]
+        known = Sorted(keys)
+        out = [r for batch in table.combine_chunks().to_batches() for r in _figures(batch, guess, known, logs)]
         return pa.Table.from_batches(out)
 
     asked = dealt.select("group", "language", "text").groupBy("group").applyInArrow(distinct, "group long, key long")

@@ -79,3 +79,48 @@ def test_symbols_keep_letters_and_fold_marks():
 
     told = quality.symbols(np.frombuffer("Ab Éß\tЖ漢7٣,“%€".encode(), np.uint8))
     assert "".join(map(chr, told.tolist())) == "ab éß ж漢00..##"
+
+
+def test_hashes_are_found_and_missed():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), np.array([0, 5, 6, 7, 2**64 - 1], np.uint64)]))
+    for have in (keys, keys[:1], keys[-1:], keys[:0]):
+        found = quality.Sorted(have)
+        absent = np.setdiff1d(np.concatenate([keys + np.uint64(1), keys]), have)
+        wanted = rng.permutation(np.concatenate([have, have, absent]))
+        at, missing = found.find(wanted)
+        assert sorted(wanted[missing].tolist()) == absent.tolist()
+        there = np.delete(np.arange(len(wanted)), missing)
+        assert (have[at[there]] == wanted[there]).all()
+
+
+@pytest.mark.parametrize("held", [quality.HELD, 300])
+def test_a_counting_task_sorts_only_new_ngrams(monkeypatch, held):
+    """Counts are those of plain Python, and repeated n-grams are not sorted again (before: every character was)."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = ["", "a", *texts(ALPHABETS["latin"][:6], 40, rng), "ж漢\U000f0000" * 30, None]
+    plain = Counter(g for t in rows if t for s in ["\n" * (quality.LONGEST - 1) + t] for g in (s[i : i + quality.LONGEST] for i in range(len(t))))
+    ordered, sizes = quality._distinct, []
+    monkeypatch.setattr(quality, "_distinct", lambda key: sizes.append(len(key)) or ordered(key))
+    monkeypatch.setattr(quality, "HELD", held)
+    monkeypatch.setattr(quality, "slices", lambda batch, *_: (batch.slice(i, 1) for i in range(batch.num_rows)))
+    flat = np.zeros(1024, np.float32).tobytes()
+    shared = SimpleNamespace(value=([0], {0: flat}, {0: flat}))
+    table = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda count, _: count))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array(rows, pa.string())], names=["language", "text"])
+    got, given = Counter(), 0
+    for part in quality.ngrams(table, shared)(iter([batch])):
+        given += part.num_rows
+        for gram, n in zip(part.column("gram").to_pylist(), part.column("n").to_pylist(), strict=True):
+            got[gram] += n
+    assert got == plain
+    if held > len(plain):
+        assert given == len(plain)
+        assert sum(sizes) < sum(plain.values()) / 2

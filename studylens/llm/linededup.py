@@ -284,6 +284,11 @@ def _long_lines(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, ...]:
     return sums, starts, ends, doc[keep], number[keep], span_hash(sums, starts, ends).view(np.int64)
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in the ascending array, which is not sorted again as by ``np.isin``."""
+    return np.searchsorted(ordered, values) < np.searchsorted(ordered, values, "right")
+
+
 def line_components(table: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(class, component) of the lines of (text) that are linked with another; a class is a line's hash."""
     if not 0 <= edits <= 20 or least < 1:
@@ -315,9 +320,8 @@ def line_components(table: DataFrame, edits: int = EDITS, least: int = LEAST) ->
             for part in slices(batch):
                 data, _ = as_bytes(part.column("text"))
                 _, starts, ends, _, _, own = _long_lines(part, least)
-                new = np.array([not (c in seen or seen.add(c)) for c in own.tolist()], bool)
-                if chosen is not None:
-                    new &= np.isin(own, chosen.value)
+                new = np.ones(len(own), bool) if chosen is None else among(own, chosen.value)
+                new[new] = [not (c in seen or seen.add(c)) for c in own[new].tolist()]
                 raw = data.tobytes()
                 found = [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(own[new]), pa.array(found, pa.binary())], names=["class", "line"])
@@ -325,7 +329,7 @@ def line_components(table: DataFrame, edits: int = EDITS, least: int = LEAST) ->
     # A bounded list of lines goes to the tasks; a longer one meets all lines in a join.
     chosen = None
     if 8 * n <= BROADCAST_BYTES:
-        chosen = spark.sparkContext.broadcast(np.array(sorted(r["class"] for r in wanted.toLocalIterator()), np.int64))
+        chosen = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column("class").to_numpy()))
     lines_ = table.select("text").mapInArrow(texts, "class long, line binary")
     routed = routes.join(lines_.withColumnRenamed("class", "_class"), F.col("class") == F.col("_class")).select("bucket", "lead", "class", "line")
     links = routed.groupBy("bucket").applyInPandas(lambda g: _links_under(g, edits), "a long, b long")

@@ -1,7 +1,9 @@
 """Lines are compared only where their bytes allow a link, and none is lost."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from studylens.llm import linededup
@@ -61,3 +63,16 @@ def test_unlike_lines_need_no_distance(monkeypatch):
     found = linededup.connected([[w.encode() for w in words] + [words[5][:-1].encode() + b"."]], 2)
     assert found == [(5, 300)] or found == [(300, 5)]
     assert len(asked) < 10 and sum(asked) < 100
+
+
+def test_wanted_lines_are_looked_up_without_sorting_them_all():
+    rng = np.random.default_rng(4)
+    wanted = np.sort(rng.integers(-(2**62), 2**62, 2_000_000))
+    own = np.concatenate([rng.integers(-(2**62), 2**62, 50), wanted[::50_000], wanted[-1:]])
+    began = time.process_time()
+    for _ in range(50):  # as many slices of text
+        found = linededup.among(own, wanted)
+    assert time.process_time() - began < 2  # 50 sorts of the wanted lines take far more
+    assert found.tolist() == np.isin(own, wanted).tolist()
+    assert linededup.among(own, wanted[:0]).tolist() == [False] * len(own)
+    assert linededup.among(own[:0], wanted).tolist() == []

@@ -42,6 +42,7 @@ SPARSE = 16  # pairs a line, up to which all of a cluster are compared at once
 KINDS = 32  # bytes alike in their low bits are counted together
 LONG = 256  # bytes from which common beginnings and ends of two lines are taken off first
 BROADCAST_BYTES = 32 << 20
+INK = bytes((~SPACE).astype(np.uint8))  # for bytes.translate
 
 
 def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -272,13 +273,21 @@ def _links_under(group: pd.DataFrame, edits: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def inked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each of the lines, which come in order and are all there are, has a byte that is no white space."""
+    out = ends > starts
+    if out.any():  # line breaks behind a line are white space, so it may end where the next one begins
+        ink = np.frombuffer(data.tobytes().translate(INK), np.uint8)
+        out[out] = np.maximum.reduceat(ink, starts[out]) > 0
+    return out
+
+
 def _long_lines(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, ...]:
     """(prefix hashes, starts, ends, document, line number, hash) of the lines that count, none of them blank."""
     data, offsets = as_bytes(part.column("text"))
     starts, ends, doc = lines(data, offsets)
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    ink = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    keep = (ends - starts >= least) & (ink[ends] > ink[starts])
+    keep = (ends - starts >= least) & inked(data, starts, ends)
     starts, ends = starts[keep], ends[keep]
     sums = prefix_hash(data)
     return sums, starts, ends, doc[keep], number[keep], span_hash(sums, starts, ends).view(np.int64)

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from studylens.llm import linededup
@@ -76,3 +77,16 @@ def test_wanted_lines_are_looked_up_without_sorting_them_all():
     assert found.tolist() == np.isin(own, wanted).tolist()
     assert linededup.among(own, wanted[:0]).tolist() == [False] * len(own)
     assert linededup.among(own[:0], wanted).tolist() == []
+
+
+def test_blank_lines_do_not_count():
+    texts = ["", "\n\n", None, " \t\r\x0b\x0c\n x\n\n", "no break", "", "a\n \nb ", "\x1f\n\xa0\n ", "  \n", "\n", " ", "z"]
+    part = pa.RecordBatch.from_arrays([pa.array(texts * 2, pa.string())], names=["text"])
+    for cut in (part, part.slice(0, 1), part.slice(2, 9), part.slice(0, 0)):
+        for least in (1, 2):
+            _, starts, ends, doc, number, own = linededup._long_lines(cut, least)
+            found = list(zip(doc.tolist(), number.tolist(), (ends - starts).tolist(), strict=True))
+            every = [(d, i, x.encode()) for d, t in enumerate(cut.column("text").to_pylist()) for i, x in enumerate((t or "").split("\n"))]
+            counted = [(d, i, x) for d, i, x in every if len(x) >= least and x.strip(b" \t\r\x0b\x0c")]
+            assert found == [(d, i, len(x)) for d, i, x in counted]
+            assert len(set(own.tolist())) == len({x for _, _, x in counted})
